@@ -123,7 +123,7 @@ def _broken(name: str, *keep: str) -> Callable[[Case], DataFrame]:
     def build(c: Case) -> DataFrame:
         spec = reports.BREAKS[name]
         numbers = [f"run_{x.name}" for x in spec.levels]
-        df = breaks.with_breaks(reports.report(c.db, name, AS_OF), spec)
+        df = reports.report_with_breaks(c.db, name, AS_OF)
         return df.select(*(keep or ["*"]), *(numbers + ["start_level", "is_end"] if keep else []))
     return build
 
@@ -310,7 +310,7 @@ _add(
 
 def _footer(name: str, level: str, scope: str, *keep: str) -> Callable[[Case], DataFrame]:
     def build(c: Case) -> DataFrame:
-        df = breaks.subtotals(reports.report(c.db, name, AS_OF), reports.BREAKS[name], level, scope)
+        df = reports.report_footers(c.db, name, AS_OF, level, scope)
         return df.select(*keep) if keep else df
     return build
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.operators.numbering import Chunk, Level, numbered, runs
+from tallywork.operators.numbering import Chunk, Level, busy_keys, numbered, runs
 
 
 @dataclass(frozen=True)
@@ -30,11 +30,14 @@ def ordering(order: Sequence[tuple[str, str]]) -> list[Column]:
     return [F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in order]
 
 
-def with_breaks(df: DataFrame, spec: BreakSpec) -> DataFrame:
-    return runs(df, spec.levels, spec.order_columns(), spec.part, spec.chunk)
+def with_breaks(df: DataFrame, spec: BreakSpec, busy: DataFrame | None = None) -> DataFrame:
+    """``busy``: see numbering.runs; by default the parts that are, counted in ``df``."""
+    large = busy_keys(df, spec.part) if busy is None else busy
+    return runs(df, spec.levels, spec.order_columns(), spec.part, spec.chunk, large)
 
 
-def subtotals(df: DataFrame, spec: BreakSpec, level: str, scope: str = "level") -> DataFrame:
+def subtotals(df: DataFrame, spec: BreakSpec, level: str, scope: str = "level",
+              busy: DataFrame | None = None) -> DataFrame:
     """Footer sums, one row per run.
 
     ``scope='level'``: a sum is reset only when ``level`` starts anew. ``scope='any'``:
@@ -48,7 +51,7 @@ def subtotals(df: DataFrame, spec: BreakSpec, level: str, scope: str = "level")
     by = list(dict.fromkeys([*spec.part, f"run_{spec.levels[deepest].name}"]))
     keep = [k for k in dict.fromkeys(shown) if k not in by]
     # the level's keys are constant within its run
-    return (with_breaks(df, spec).groupBy(*by, *keep)
+    return (with_breaks(df, spec, busy).groupBy(*by, *keep)
             .agg(F.count(F.lit(1)).alias("n_rows"),
                  *[F.sum(c).alias(f"{c}_sum") for c in spec.sums]))
 

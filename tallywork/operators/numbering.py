@@ -1,11 +1,16 @@
-"""Row numbers and control-break runs over a sorted report, without handing a whole
+"""Row numbers and control-break runs over a sorted report, without handing an unbounded
 group to one task.
 
-Both work in two steps. Rows are cut into *chunks*: ranges of the sort order inside a
-group (a month of a client's visits, say). A window runs inside each chunk; one summary
-row per chunk is then put in order within its group, which carries counts and boundary
-rows over from chunk to chunk. A client with a third of all visits is spread over as
-many tasks as it has chunks, and only its summary rows meet in one.
+Groups of ordinary size get a plain window. A *busy* group, of more rows than one task
+should sort, is cut into *chunks*: ranges of the sort order inside the group (a month of
+a client's visits, say). A window runs inside each chunk; one summary row per chunk is
+then put in order within its group, which carries counts and boundary rows over from
+chunk to chunk. A client with a third of all visits is spread over as many tasks as it
+has chunks, and only its summary rows meet in one.
+
+Which groups are busy is told by a frame of their keys. It has at most (rows / limit)
+rows, so it is broadcast: busy rows leave the plain path before any shuffle. When it is
+empty, as it mostly is, adaptive execution drops the chunked path.
 """
 
 from __future__ import annotations
@@ -43,6 +48,24 @@ def prefix_of(text: str, length: int = 8) -> str:
     return f"substring({text}, 1, {length})"
 
 
+BUSY_ROWS = 1_000_000
+
+
+def busy_keys(df: DataFrame, keys: Sequence[str], limit: int = BUSY_ROWS) -> DataFrame:
+    """Groups of more than ``limit`` rows: counted with map-side sums."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") > limit).select(*keys))
+
+
+def _split(df: DataFrame, keys: Sequence[str], busy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary groups, rows of busy groups)."""
+    marked = F.broadcast(busy.select(*[F.col(k).alias(f"_b_{k}") for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    return df.join(marked, same, "left_anti"), df.join(marked, same, "left_semi")
+
+
 def _carry(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join chunk-level columns back to the rows; null is a key value like any other."""
     renamed = summary.withColumnsRenamed({k: f"_s_{k}" for k in keys})
@@ -51,9 +74,22 @@ def _carry(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], chunk: Chunk,
-             out: str = "row_no") -> DataFrame:
-    """``row_number()`` within ``group``. ``order`` must be total and begin with (what the
-    chunk is made of); the result has the same rows and a bigint column more."""
+             out: str = "row_no", busy: DataFrame | None = None) -> DataFrame:
+    """``row_number()`` within ``group``: the same rows and a bigint column more.
+
+    ``order`` must be total and begin with what the chunk is made of. Without ``busy``
+    every group is treated as a busy one.
+    """
+    if busy is None:
+        return _numbered_in_chunks(df, group, order, chunk, out)
+    ordinary, large = _split(df, group, busy)
+    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return ordinary.withColumn(out, number.cast("bigint")).unionByName(
+        _numbered_in_chunks(large, group, order, chunk, out))
+
+
+def _numbered_in_chunks(df: DataFrame, group: Sequence[str], order: Sequence[Column],
+                        chunk: Chunk, out: str) -> DataFrame:
     keys = [*group, *chunk.names()]
     rows = df.withColumns(chunk.columns())
     inside = rows.withColumn("_pos", F.row_number().over(
@@ -76,69 +112,104 @@ class Level:
     keys: Sequence[str]
 
 
+class _Keys:
+    """The levels' keys packed into one struct, a level's key with those outside it."""
+
+    def __init__(self, levels: Sequence[Level]):
+        wide: list[str] = []
+        self.sizes = []
+        for level in levels:
+            wide += level.keys
+            self.sizes.append(len(wide))
+        self.packed = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(wide)])
+
+    def differ(self, level: int, a: Column, b: Column) -> Column:
+        same = F.lit(True)
+        for j in range(self.sizes[level]):
+            same = same & a[f"k{j}"].eqNullSafe(b[f"k{j}"])
+        return ~same
+
+
+def _start_level(started: Sequence[Column]) -> Column:
+    return F.coalesce(*[F.when(s, F.lit(i)) for i, s in enumerate(started)]).cast("int")
+
+
 def runs(df: DataFrame, levels: Sequence[Level], order: Sequence[Column],
-         part: Sequence[str], chunk: Chunk) -> DataFrame:
+         part: Sequence[str], chunk: Chunk, busy: DataFrame | None = None) -> DataFrame:
     """Control breaks over the report order.
 
     ``levels`` go from the outermost in. A level's run starts when its own key or that of
     a level outside it differs from the row before. ``part`` names leading sort columns
-    whose change always changes the outermost key, so no run crosses them.
+    whose change always changes the outermost key, so no run crosses them. Without
+    ``busy`` every part is treated as a busy one.
 
     Adds ``run_<level>`` (numbered from 1 within ``part``), ``start_level`` (index of the
     outermost level that starts at this row, else null) and ``is_end`` (the next row
     starts a run, or there is none).
     """
-    keys = [*part, *chunk.names()]
-    count = range(len(levels))
-    # the key of each level, with those of the levels outside it
-    wide: list[list[str]] = []
-    for level in levels:
-        wide.append([*(wide[-1] if wide else []), *level.keys])
-    all_keys = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(wide[-1])])
-    sizes = [len(w) for w in wide]
-
-    def differs(i: int, a: Column, b: Column) -> Column:
-        same = F.lit(True)
-        for j in range(sizes[i]):
-            same = same & a[f"k{j}"].eqNullSafe(b[f"k{j}"])
-        return ~same
-
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = (df.withColumns(chunk.columns())
-              .withColumn("_cur", all_keys)
-              .withColumn("_prev", F.lag("_cur").over(w))
-              .withColumn("_next", F.lead("_cur").over(w))
-              .withColumns({f"_chg{i}": F.when(F.col("_prev").isNull(), 0)
-                            .otherwise(differs(i, F.col("_cur"), F.col("_prev")).cast("int"))
+    if busy is None:
+        return _runs_in_chunks(df, levels, order, part, chunk)
+    ordinary, large = _split(df, part, busy)
+    return _runs_in_parts(ordinary, levels, order, part).unionByName(
+        _runs_in_chunks(large, levels, order, part, chunk))
+
+
+def _runs_in_parts(df: DataFrame, levels: Sequence[Level], order: Sequence[Column],
+                   part: Sequence[str]) -> DataFrame:
+    keys, count = _Keys(levels), range(len(levels))
+    w = Window.partitionBy(*part).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    prev, ahead = F.col("_prev"), F.col("_next")
+    rows = (df.withColumn("_cur", keys.packed)
+              .withColumns({"_prev": F.lag("_cur").over(w), "_next": F.lead("_cur").over(w)})
+              .withColumns({f"_chg{i}": (prev.isNull() | keys.differ(i, F.col("_cur"), prev))
+                            .cast("int") for i in count}))
+    last = len(levels) - 1
+    return rows.select(
+        *df.columns,
+        *[F.sum(f"_chg{i}").over(so_far).cast("bigint").alias(f"run_{x.name}")
+          for i, x in enumerate(levels)],
+        _start_level([F.col(f"_chg{i}") == 1 for i in count]).alias("start_level"),
+        (ahead.isNull() | keys.differ(last, F.col("_cur"), ahead)).alias("is_end"))
+
+
+def _runs_in_chunks(df: DataFrame, levels: Sequence[Level], order: Sequence[Column],
+                    part: Sequence[str], chunk: Chunk) -> DataFrame:
+    cut, packed, count = [*part, *chunk.names()], _Keys(levels), range(len(levels))
+    w = Window.partitionBy(*cut).orderBy(*order)
+    cur, prev, ahead = F.col("_cur"), F.col("_prev"), F.col("_next")
+    rows = (df.withColumns(chunk.columns()).withColumn("_cur", packed.packed)
+              .withColumns({"_prev": F.lag("_cur").over(w), "_next": F.lead("_cur").over(w)})
+              .withColumns({f"_chg{i}": F.when(prev.isNull(), 0)
+                            .otherwise(packed.differ(i, cur, prev).cast("int"))
                             for i in count}))
 
     over_chunks = Window.partitionBy(*part).orderBy(*chunk.order())
     earlier = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
-    summary = (rows.groupBy(*keys)
-               .agg(F.max(F.when(F.col("_prev").isNull(), F.col("_cur"))).alias("_first"),
-                    F.max(F.when(F.col("_next").isNull(), F.col("_cur"))).alias("_last"),
+    summary = (rows.groupBy(*cut)
+               .agg(F.max(F.when(prev.isNull(), cur)).alias("_first"),
+                    F.max(F.when(ahead.isNull(), cur)).alias("_last"),
                     *[F.sum(f"_chg{i}").alias(f"_sum{i}") for i in count])
-               .withColumn("_back", F.lag("_last").over(over_chunks))
-               .withColumn("_ahead", F.lead("_first").over(over_chunks))
+               .withColumns({"_back": F.lag("_last").over(over_chunks),
+                             "_ahead": F.lead("_first").over(over_chunks)})
                .withColumns({f"_edge{i}": F.when(F.col("_back").isNull(), 1).otherwise(
-                   differs(i, F.col("_first"), F.col("_back")).cast("int")) for i in count})
+                   packed.differ(i, F.col("_first"), F.col("_back")).cast("int"))
+                   for i in count})
                .withColumns({f"_off{i}": F.coalesce(
                    F.sum(F.col(f"_sum{i}") + F.col(f"_edge{i}")).over(earlier), F.lit(0))
                    for i in count})
-               .select(*keys, "_ahead", *[f"_edge{i}" for i in count],
+               .select(*cut, "_ahead", *[f"_edge{i}" for i in count],
                        *[f"_off{i}" for i in count]))
 
     inside = rows.withColumns({f"_run{i}": F.sum(f"_chg{i}").over(
         w.rowsBetween(Window.unboundedPreceding, 0)) for i in count})
-    joined = _carry(inside, summary, keys)
-    first = F.col("_prev").isNull()
-    started = [F.when(first, F.col(f"_edge{i}")).otherwise(F.col(f"_chg{i}")) == 1 for i in count]
-    start_level = F.coalesce(*[F.when(s, F.lit(i)) for i, s in enumerate(started)])
-    following = F.coalesce(F.col("_next"), F.col("_ahead"))
-    is_end = following.isNull() | differs(len(levels) - 1, F.col("_cur"), following)
-    numbers = {f"run_{level.name}":
-               (F.col(f"_off{i}") + F.col(f"_edge{i}") + F.col(f"_run{i}")).cast("bigint")
-               for i, level in enumerate(levels)}
-    return joined.select(*[joined[c] for c in df.columns],
-                         *[c.alias(n) for n, c in numbers.items()],
-                         start_level.cast("int").alias("start_level"), is_end.alias("is_end"))
+    joined = _carry(inside, summary, cut)
+    started = [F.when(prev.isNull(), F.col(f"_edge{i}")).otherwise(F.col(f"_chg{i}")) == 1
+               for i in count]
+    following = F.coalesce(ahead, F.col("_ahead"))
+    return joined.select(
+        *df.columns,
+        *[(F.col(f"_off{i}") + F.col(f"_edge{i}") + F.col(f"_run{i}")).cast("bigint")
+          .alias(f"run_{x.name}") for i, x in enumerate(levels)],
+        _start_level(started).alias("start_level"),
+        (following.isNull() | packed.differ(len(levels) - 1, cur, following)).alias("is_end"))

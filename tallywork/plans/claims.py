@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 from tallywork.functions import billing, dates
 from tallywork.operators.joins import join_every, only_keys
-from tallywork.operators.numbering import Chunk, month_of, numbered, prefix_of
+from tallywork.operators.numbering import (
+    BUSY_ROWS,
+    Chunk,
+    busy_keys,
+    month_of,
+    numbered,
+    prefix_of,
+)
 from tallywork.plans.upkeep import stamp_claims
 from tallywork.practice import Practice
 
@@ -87,16 +94,21 @@ def claim_visits(db: Practice, selected: DataFrame | None) -> DataFrame:
     i = (db.insurance.select("client_id", "carrier_id")
          .join(carriers, "carrier_id", "left_semi").select("client_id"))
     priced = v.join(p, "cpt").join(s, "session_id").join(i, "client_id")
-    return (join_every(priced, billing_providers(db).select("provider_id"), "visit_id")
-            .select("client_id", "visit_id", "session_date", "cpt", "price", "provider_id"))
+    providers = billing_providers(db).select("provider_id", "provider_npi")
+    return (join_every(priced, providers, "visit_id")
+            .select("client_id", "visit_id", "session_date", "cpt", "price", "provider_id",
+                    "provider_npi"))
 
 
-def paged_lines(db: Practice, selected: DataFrame | None) -> DataFrame:
-    """Claim lines with their page and their slot (1 to 6) on it, per client by date."""
+def paged_lines(db: Practice, selected: DataFrame | None,
+                limit: int = BUSY_ROWS) -> DataFrame:
+    """Claim lines with their page and their slot (1 to 6) on it, per client by date.
+    Clients of more than ``limit`` visits are numbered in chunks."""
     lines = numbered(
         claim_visits(db, selected), ["client_id"],
         [F.col("session_date"), F.col("visit_id"), F.col("provider_id")],
-        Chunk([month_of("session_date")]), "line_no")
+        Chunk([month_of("session_date")]), "line_no",
+        busy_keys(db.visit, ["client_id"], limit))
     at = F.col("line_no") - 1
     return lines.withColumns({
         "page": (F.floor(at / LINES_PER_PAGE) + 1).cast("bigint"),
@@ -105,7 +117,8 @@ def paged_lines(db: Practice, selected: DataFrame | None) -> DataFrame:
 
 def claim_pages(db: Practice, selected: DataFrame | None) -> DataFrame:
     """One row per page: its (at most six) lines in slot order, and their total."""
-    line = F.struct("slot", "visit_id", "session_date", "cpt", "price", "provider_id")
+    line = F.struct("slot", "visit_id", "session_date", "cpt", "price", "provider_id",
+                    "provider_npi")
     return (paged_lines(db, selected).groupBy("client_id", "page")
             .agg(F.sort_array(F.collect_list(line)).alias("items"),
                  billing.total(F.col("price")).alias("total"))
@@ -147,15 +160,15 @@ def claim_parties(db: Practice) -> DataFrame:
 
 def claim_lines(db: Practice, selected: DataFrame | None) -> DataFrame:
     """Every claim line with all that its claim says, one row per line."""
-    return (claim_visits(db, selected).join(claim_parties(db), "client_id")
-            .join(billing_providers(db), "provider_id"))
+    return (claim_visits(db, selected).drop("provider_npi")
+            .join(claim_parties(db), "client_id").join(billing_providers(db), "provider_id"))
 
 
 def claims(db: Practice, selected: DataFrame | None) -> DataFrame:
     """Claim pages with the parties' fields; the first line's provider signs the page."""
     pages = claim_pages(db, selected).withColumn("provider_id", F.col("items")[0]["provider_id"])
-    npi = billing_providers(db)
-    return pages.join(claim_parties(db), "client_id").join(npi, "provider_id")
+    return (pages.join(claim_parties(db), "client_id")
+            .join(billing_providers(db), "provider_id"))
 
 
 def _shared_fields(as_of: datetime.date) -> dict[str, Column]:
@@ -195,7 +208,6 @@ def claim_file(db: Practice, selected: DataFrame | None, as_of: datetime.date) -
     out: dict[str, Column] = {}
     for name in CLAIM_COLUMNS:
         out[name] = shared.get(name, F.lit(None).cast("string"))
-    npis = claims(db, selected)
     for slot in range(1, LINES_PER_PAGE + 1):
         item = F.get(F.col("items"), F.lit(slot - 1))
         used = item.isNotNull()
@@ -208,27 +220,9 @@ def claim_file(db: Practice, selected: DataFrame | None, as_of: datetime.date) -
             slot_column(slot, "e-Code"): F.when(used, str(DIAGNOSIS_POINTER)),
             slot_column(slot, "f-Charges"): item["price"].cast("string"),
             slot_column(slot, "g-Units"): F.when(used, str(UNITS)),
-            slot_column(slot, "j-ProvNPI"): F.when(used, F.get(F.col("_npis"), F.lit(slot - 1))),
+            slot_column(slot, "j-ProvNPI"): item["provider_npi"],
         })
-    return _with_line_npis(npis, db).select(*[c.alias(n) for n, c in out.items()])
-
-
-def _with_line_npis(pages: DataFrame, db: Practice) -> DataFrame:
-    """Lines of a page may have different providers when there are several; look each one
-    up in a map of the providers. The map has an entry per billing provider of the
-    practice (rows with a tax id), on the page of a client at most six."""
-    several = F.size(F.array_distinct(F.transform("items", lambda x: x["provider_id"]))) > 1
-    single = F.transform("items", lambda x: F.col("provider_npi"))
-    lookup = billing_providers(db).select(F.col("provider_id").alias("_pid"),
-                                          F.col("provider_npi").alias("_npi"))
-    mixed = (pages.where(several).select("client_id", "page", F.explode("items").alias("x"))
-             .join(lookup, F.col("x.provider_id") == F.col("_pid"))
-             .groupBy("client_id", "page")
-             .agg(F.sort_array(F.collect_list(F.struct(F.col("x.slot").alias("slot"), "_npi")))
-                  .alias("_mixed")))
-    return (pages.join(mixed, ["client_id", "page"], "left")
-            .withColumn("_npis", F.when(F.col("_mixed").isNull(), single)
-                        .otherwise(F.transform("_mixed", lambda x: x["_npi"]))))
+    return claims(db, selected).select(*[c.alias(n) for n, c in out.items()])
 
 
 def claim_review(db: Practice, selected: DataFrame | None) -> DataFrame:
@@ -332,7 +326,8 @@ def printed_claims(db: Practice, as_of: datetime.date) -> DataFrame:
                      .alias("line_no"), F.lit("").alias("text")))
     services = (numbered(printed_claim_lines(db), key,
                          [F.col("session_date"), F.col("visit_id"), F.col("provider_id")],
-                         Chunk([month_of("session_date")]), "service_no")
+                         Chunk([month_of("session_date")]), "service_no",
+                         busy_keys(db.visit.where("claim_uid is not null"), key))
                 .withColumns({**_date_parts("served", F.col("session_date"), "%y"),
                               "place": F.lit(PLACE_OF_SERVICE),
                               "pointer": F.lit(str(DIAGNOSIS_POINTER)),

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tallywork import schema
 from tallywork.functions import billing, dates
-from tallywork.operators.breaks import BreakSpec, ordering
+from tallywork.operators.breaks import BreakSpec, ordering, subtotals, with_breaks
 from tallywork.operators.joins import left_first_wins
-from tallywork.operators.numbering import Chunk, Level, month_of, prefix_of
+from tallywork.operators.numbering import BUSY_ROWS, Chunk, Level, month_of, prefix_of
 from tallywork.plans.upkeep import add_columns, duplicate_names, therapist_sessions
 from tallywork.plans.views import (
     attendance,
@@ -541,3 +541,38 @@ BREAKS: dict[str, BreakSpec] = {
                           Level("session", ["session_id"])],
         ["session_date"], Chunk(["group_name", "session_time"])),
 }
+
+
+# ---- headings and footers of a named report ------------------------------------------
+
+def busy_parts(db: Practice, part: list[str], limit: int = BUSY_ROWS) -> DataFrame | None:
+    """Parts of a report (clients by name, groups by name) with more than ``limit`` visits,
+    counted on the visits alone, before any of the report's joins. None: no such count."""
+    if part[0] == "client_name":
+        ids = db.visit.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
+        named = ids.join(db.client.select(F.col("id").alias("client_id"),
+                                          F.col("name").alias("client_name")), "client_id")
+    elif part == ["group_name"]:
+        s = db.session.select(F.col("id").alias("session_id"), "group_id")
+        named = (db.visit.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+                 .join(s, "session_id").groupBy("group_id").agg(F.sum("n").alias("n"))
+                 .join(db.group.select(F.col("id").alias("group_id"),
+                                       F.col("name").alias("group_name")), "group_id"))
+    else:
+        return None
+    return named.groupBy(*part).agg(F.sum("n").alias("n")).where(F.col("n") > limit).select(*part)
+
+
+def report_with_breaks(db: Practice, name: str, as_of: datetime.date,
+                       limit: int = BUSY_ROWS) -> DataFrame:
+    """Rows of a report with its run numbers, heading levels and ends."""
+    spec = BREAKS[name]
+    return with_breaks(report(db, name, as_of), spec, busy_parts(db, spec.part, limit))
+
+
+def report_footers(db: Practice, name: str, as_of: datetime.date, level: str,
+                   scope: str = "level", limit: int = BUSY_ROWS) -> DataFrame:
+    """A report's subtotals, one row per run."""
+    spec = BREAKS[name]
+    return subtotals(report(db, name, as_of), spec, level, scope,
+                     busy_parts(db, spec.part, limit))
