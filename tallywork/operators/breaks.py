@@ -22,6 +22,9 @@ class BreakSpec:
     def order_columns(self) -> list[Column]:
         return ordering(self.order)
 
+    def order_in_part(self) -> list[Column]:
+        return ordering([(c, way) for c, way in self.order if c not in self.part])
+
     def level(self, name: str) -> int:
         return [x.name for x in self.levels].index(name)
 
@@ -33,7 +36,7 @@ def ordering(order: Sequence[tuple[str, str]]) -> list[Column]:
 def with_breaks(df: DataFrame, spec: BreakSpec, busy: DataFrame | None = None) -> DataFrame:
     """``busy``: see numbering.runs; by default the parts that are, counted in ``df``."""
     large = busy_keys(df, spec.part) if busy is None else busy
-    return runs(df, spec.levels, spec.order_columns(), spec.part, spec.chunk, large)
+    return runs(df, spec.levels, spec.order_in_part(), spec.part, spec.chunk, large)
 
 
 def subtotals(df: DataFrame, spec: BreakSpec, level: str, scope: str = "level",

@@ -12,9 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPREAD = 64
-
-
 def left_first_wins(left: DataFrame, right: DataFrame, left_key: str,
                     right_key: str) -> DataFrame:
     """Left join in whose result a repeated column name means the left one."""
@@ -30,14 +27,15 @@ def lower_names(df: DataFrame) -> DataFrame:
 
 
 def join_every(many: DataFrame, few: DataFrame, key: str, condition: Column | None = None,
-               spread: int = SPREAD) -> DataFrame:
+               spread: int | None = None) -> DataFrame:
     """Every row of ``many`` with each row of ``few`` (that meets ``condition``).
 
     For a handful of parameter rows (providers, billing batches). An equi-join on a
-    slot number: each row of ``many`` falls into one of ``spread`` slots by its key,
-    each row of ``few`` is put into all of them. It is a hash join at any size of
-    ``few``, and no slot is hotter than another.
+    slot number: each row of ``many`` falls into one of ``spread`` slots by its key (as
+    many as there are shuffle partitions), each row of ``few`` is put into all of them.
+    It is a hash join at any size of ``few``, and no slot is hotter than another.
     """
+    spread = spread or int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = many.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(spread)).cast("int"))
     right = few.withColumn(
         "_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))

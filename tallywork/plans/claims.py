@@ -340,15 +340,25 @@ def printed_claims(db: Practice, as_of: datetime.date) -> DataFrame:
 
 # ---- the portal's answer -------------------------------------------------------------
 
-def sent_claims(db: Practice, selected: DataFrame | None) -> DataFrame:
+def busy_uploads(db: Practice, limit: int) -> DataFrame:
+    """Months with more than ``limit`` visits: there are no more pages than visits."""
+    s = db.session.select(F.col("id").alias("session_id"), _month("session_date").alias("upload_no"))
+    return busy_keys(db.visit.select("session_id").join(s, "session_id"), ["upload_no"], limit)
+
+
+def _month(date: str | Column) -> Column:
+    return F.date_format(date, "yyyyMM").cast("bigint")
+
+
+def sent_claims(db: Practice, selected: DataFrame | None, limit: int = BUSY_ROWS) -> DataFrame:
     """Claim pages as they are sent: one upload per month of the first service, and in it
     the pages in the file's order (client name, client, page)."""
     names = db.client.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     pages = claim_pages(db, selected).join(names, "client_id").withColumn(
-        "upload_no", F.date_format(F.col("items")[0]["session_date"], "yyyyMM").cast("bigint"))
+        "upload_no", _month(F.col("items")[0]["session_date"]))
     return numbered(pages, ["upload_no"],
                     [F.col("client_name"), F.col("client_id"), F.col("page")],
-                    Chunk([prefix_of("client_name")]), "position")
+                    Chunk([prefix_of("client_name")]), "position", busy_uploads(db, limit))
 
 
 def positions(results: DataFrame) -> DataFrame:
