@@ -353,7 +353,8 @@ _add(
         "client_id", "visit_id", "page", "slot"),
     w05_parity=lambda c: breaks.with_parity(
         reports.report(c.db, "billing_insurance", AS_OF), reports.BREAKS["billing_insurance"],
-        Chunk([prefix_of("client_name")])).select("id", "parity"),
+        Chunk([prefix_of("client_name"), "client_name", "client_id", month_of("session_date")],
+              [False, False, False, True], [1, 4])).select("id", "parity"),
     w06_newest_batch=lambda c: pages.newest_batch(
         c.results.select(F.col("batch").alias("batch_no"))).withColumn("kind", F.lit("newest"))
         .unionByName(pages.newer_batches(

@@ -6,7 +6,8 @@ should sort, is cut into *chunks*: ranges of the sort order inside the group (a
 a client's visits, say). A window runs inside each chunk; one summary row per chunk is
 then put in order within its group, which carries counts and boundary rows over from
 chunk to chunk. A client with a third of all visits is spread over as many tasks as it
-has chunks, and only its summary rows meet in one.
+has chunks, and only its summary rows meet in one. Where even those may be many (the
+clients of a group), chunks are put into coarser chunks first, and so on up.
 
 Which groups are busy is told by a frame of their keys. It has at most (rows / limit)
 rows, so it is broadcast: busy rows leave the plain path before any shuffle. When it is
@@ -16,7 +17,7 @@ empty, as it mostly is, adaptive execution drops the chunked path.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,10 +25,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Chunk:
-    """Values (SQL expressions) that never go back along the sort order within a group."""
+    """Values (SQL expressions) that never go back along the sort order within a group.
+
+    ``steps``: how many of them make a chunk, from the coarsest chunks to the finest; by
+    default all make one.
+    """
 
     values: Sequence[str]
-    descending: Sequence[bool] = field(default=())
+    descending: Sequence[bool] = ()
+    steps: Sequence[int] = ()
 
     def names(self) -> list[str]:
         return [f"_chunk{i}" for i in range(len(self.values))]
@@ -35,6 +41,9 @@ class Chunk:
     def columns(self) -> dict[str, Column]:
         return {n: F.expr(v) for n, v in zip(self.names(), self.values)}
 
+    def cuts(self) -> list[list[str]]:
+        return [self.names()[:n] for n in (self.steps or [len(self.values)])]
+
     def order(self) -> list[Column]:
         down = list(self.descending) or [False] * len(self.values)
         return [F.col(n).desc() if d else F.col(n).asc() for n, d in zip(self.names(), down)]
@@ -90,18 +99,28 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], chunk
 
 def _numbered_in_chunks(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                         chunk: Chunk, out: str) -> DataFrame:
-    keys = [*group, *chunk.names()]
-    rows = df.withColumns(chunk.columns())
-    inside = rows.withColumn("_pos", F.row_number().over(
-        Window.partitionBy(*keys).orderBy(*order)))
-    before = (Window.partitionBy(*group).orderBy(*chunk.order())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    counts = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-              .drop("_n"))
-    return (_carry(inside, counts, keys)
-            .withColumn(out, (F.col("_before") + F.col("_pos")).cast("bigint"))
-            .drop("_before", "_pos", *chunk.names()))
+    rows = df.withColumns(chunk.columns()).withColumn("_n", F.lit(1))
+    return (_count_before(rows, group, chunk.cuts(), order, chunk.order())
+            .withColumn(out, (F.col("_before") + 1).cast("bigint"))
+            .drop("_before", "_n", *chunk.names()))
+
+
+def _count_before(items: DataFrame, group: Sequence[str], cuts: list[list[str]],
+                  order: Sequence[Column], chunk_order: Sequence[Column]) -> DataFrame:
+    """``_before``: the sum of ``_n`` over the items earlier in the group."""
+    def earlier(keys: Sequence[str]) -> Column:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+    if not cuts:
+        return items.withColumn("_before", earlier(group))
+    keys = [*group, *cuts[-1]]
+    chunks = _count_before(items.groupBy(*keys).agg(F.sum("_n").alias("_n")), group, cuts[:-1],
+                           chunk_order[:len(cuts[-1])], chunk_order)
+    joined = _carry(items.withColumn("_inside", earlier(keys)),
+                    chunks.select(*keys, F.col("_before").alias("_outside")), keys)
+    return joined.withColumn("_before", F.col("_inside") + F.col("_outside")).drop(
+        "_inside", "_outside")
 
 
 @dataclass(frozen=True)
@@ -175,41 +194,57 @@ def _runs_in_parts(df: DataFrame, levels: Sequence[Level], order: Sequence[Colum
 
 def _runs_in_chunks(df: DataFrame, levels: Sequence[Level], order: Sequence[Column],
                     part: Sequence[str], chunk: Chunk) -> DataFrame:
-    cut, packed, count = [*part, *chunk.names()], _Keys(levels), range(len(levels))
-    w = Window.partitionBy(*cut).orderBy(*order)
-    cur, prev, ahead = F.col("_cur"), F.col("_prev"), F.col("_next")
-    rows = (df.withColumns(chunk.columns()).withColumn("_cur", packed.packed)
-              .withColumns({"_prev": F.lag("_cur").over(w), "_next": F.lead("_cur").over(w)})
-              .withColumns({f"_chg{i}": F.when(prev.isNull(), 0)
-                            .otherwise(packed.differ(i, cur, prev).cast("int"))
-                            for i in count}))
-
-    over_chunks = Window.partitionBy(*part).orderBy(*chunk.order())
-    earlier = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
-    summary = (rows.groupBy(*cut)
-               .agg(F.max(F.when(prev.isNull(), cur)).alias("_first"),
-                    F.max(F.when(ahead.isNull(), cur)).alias("_last"),
-                    *[F.sum(f"_chg{i}").alias(f"_sum{i}") for i in count])
-               .withColumns({"_back": F.lag("_last").over(over_chunks),
-                             "_ahead": F.lead("_first").over(over_chunks)})
-               .withColumns({f"_edge{i}": F.when(F.col("_back").isNull(), 1).otherwise(
-                   packed.differ(i, F.col("_first"), F.col("_back")).cast("int"))
-                   for i in count})
-               .withColumns({f"_off{i}": F.coalesce(
-                   F.sum(F.col(f"_sum{i}") + F.col(f"_edge{i}")).over(earlier), F.lit(0))
-                   for i in count})
-               .select(*cut, "_ahead", *[f"_edge{i}" for i in count],
-                       *[f"_off{i}" for i in count]))
-
-    inside = rows.withColumns({f"_run{i}": F.sum(f"_chg{i}").over(
-        w.rowsBetween(Window.unboundedPreceding, 0)) for i in count})
-    joined = _carry(inside, summary, cut)
-    started = [F.when(prev.isNull(), F.col(f"_edge{i}")).otherwise(F.col(f"_chg{i}")) == 1
-               for i in count]
-    following = F.coalesce(ahead, F.col("_ahead"))
-    return joined.select(
+    keys, count = _Keys(levels), range(len(levels))
+    rows = (df.withColumns(chunk.columns())
+              .withColumns({"_first": keys.packed, "_last": keys.packed,
+                            **{f"_n{i}": F.lit(0) for i in count}}))
+    scanned = _scan(rows, keys, part, chunk.cuts(), order, chunk.order())
+    ahead = F.col("_ahead")
+    return scanned.select(
         *df.columns,
-        *[(F.col(f"_off{i}") + F.col(f"_edge{i}") + F.col(f"_run{i}")).cast("bigint")
-          .alias(f"run_{x.name}") for i, x in enumerate(levels)],
-        _start_level(started).alias("start_level"),
-        (following.isNull() | packed.differ(len(levels) - 1, cur, following)).alias("is_end"))
+        *[(F.col(f"_off{i}") + F.col(f"_edge{i}")).cast("bigint").alias(f"run_{x.name}")
+          for i, x in enumerate(levels)],
+        _start_level([F.col(f"_edge{i}") == 1 for i in count]).alias("start_level"),
+        (ahead.isNull() | keys.differ(len(levels) - 1, F.col("_last"), ahead)).alias("is_end"))
+
+
+def _scan(items: DataFrame, keys: _Keys, part: Sequence[str], cuts: list[list[str]],
+          order: Sequence[Column], chunk_order: Sequence[Column]) -> DataFrame:
+    """Put items (rows, or chunks of rows) in order within their part.
+
+    An item has the keys of its ``_first`` and ``_last`` row and the number of runs
+    ``_n<level>`` that start inside it. Added: ``_edge<level>`` (1 when a run starts with
+    the item), ``_off<level>`` (runs started before it) and ``_ahead`` (the keys after it,
+    null at the end of the part).
+    """
+    count = range(len(keys.sizes))
+    by = [*part, *(cuts[-1] if cuts else [])]
+    w = Window.partitionBy(*by).orderBy(*order)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    back = F.col("_back")
+    # the first item of a part starts runs; the first of a chunk is settled further up
+    unknown = 0 if cuts else 1
+    local = (items.withColumns({"_back": F.lag("_last").over(w), "_ahead": F.lead("_first").over(w)})
+             .withColumns({f"_edge{i}": F.when(back.isNull(), unknown).otherwise(
+                 keys.differ(i, F.col("_first"), back).cast("int")) for i in count}))
+    inside = local.withColumns({f"_off{i}": F.coalesce(
+        F.sum(F.col(f"_n{i}") + F.col(f"_edge{i}")).over(earlier), F.lit(0)) for i in count})
+    if not cuts:
+        return inside.drop("_back")
+    summary = local.groupBy(*by).agg(
+        F.max(F.when(back.isNull(), F.col("_first"))).alias("_first"),
+        F.max(F.when(F.col("_ahead").isNull(), F.col("_last"))).alias("_last"),
+        *[F.sum(F.col(f"_n{i}") + F.col(f"_edge{i}")).alias(f"_n{i}") for i in count])
+    above = _scan(summary, keys, part, cuts[:-1], chunk_order[:len(cuts[-1])], chunk_order)
+    carried = _carry(inside, above.select(
+        *by, F.col("_ahead").alias("_above_ahead"),
+        *[F.col(f"_{x}{i}").alias(f"_above_{x}{i}") for x in ("edge", "off") for i in count]), by)
+    first = back.isNull()
+    return (carried.withColumns({
+                "_ahead": F.coalesce("_ahead", "_above_ahead"),
+                **{f"_off{i}": F.col(f"_above_off{i}") + F.col(f"_off{i}")
+                   + F.when(first, 0).otherwise(F.col(f"_above_edge{i}")) for i in count},
+                **{f"_edge{i}": F.when(first, F.col(f"_above_edge{i}"))
+                   .otherwise(F.col(f"_edge{i}")) for i in count}})
+            .drop("_back", "_above_ahead",
+                  *[f"_above_{x}{i}" for x in ("edge", "off") for i in count]))

@@ -358,7 +358,9 @@ def sent_claims(db: Practice, selected: DataFrame | None, limit: int = BUSY_ROWS
         "upload_no", _month(F.col("items")[0]["session_date"]))
     return numbered(pages, ["upload_no"],
                     [F.col("client_name"), F.col("client_id"), F.col("page")],
-                    Chunk([prefix_of("client_name")]), "position", busy_uploads(db, limit))
+                    Chunk([prefix_of("client_name"), "client_name", "client_id",
+                           "floor(page / 1000)"], steps=[1, 4]),
+                    "position", busy_uploads(db, limit))
 
 
 def positions(results: DataFrame) -> DataFrame:

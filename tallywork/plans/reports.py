@@ -506,7 +506,8 @@ BREAKS: dict[str, BreakSpec] = {
         Chunk(["group_name", month_of("session_date")]), MONEY_SUMS),
     "attendance_by_group": _spec(
         "attendance_by_group", [PER_GROUP, PER_CLIENT], ["group_name"],
-        Chunk([prefix_of("client_name")]), MONEY_SUMS),
+        Chunk([prefix_of("client_name"), "client_name", month_of("session_date")],
+              steps=[1, 3]), MONEY_SUMS),
     "billing_insurance": _spec(
         "billing_insurance", [PER_CLIENT], ["client_name", "client_id"],
         Chunk([month_of("session_date")], [True]), MONEY_SUMS),

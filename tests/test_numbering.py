@@ -63,6 +63,25 @@ def test_runs(spark, seed, limit):
     assert found == loop(rows)
 
 
+@pytest.mark.parametrize("steps", [[1], [1, 2], [1, 2, 3]])
+def test_runs_in_chunks_of_chunks(spark, steps):
+    df, rows = data(spark, 9)
+    got = runs(df, LEVELS, [F.col("group_name"), F.col("day"), F.col("id")], ["name"],
+               Chunk(["group_name", "floor(day / 10)", "floor(day / 5)"], steps=steps))
+    found = {r.id: (r.run_client, r.run_group, r.start_level, r.is_end) for r in got.collect()}
+    assert found == loop(rows)
+
+
+def test_numbered_in_chunks_of_chunks(spark):
+    df, rows = data(spark, 10)
+    got = numbered(df, ["client_id"], [F.col("day").desc(), F.col("id")],
+                   Chunk(["floor(day / 20)", "floor(day / 10)", "day"], [True] * 3, [1, 2, 3]), "no")
+    found = {r.id: r.no for r in got.collect()}
+    for client in (1, 2):
+        mine = sorted((r for r in rows if r[1] == client), key=lambda r: (-r[4], r[5]))
+        assert [found[r[5]] for r in mine] == list(range(1, len(mine) + 1))
+
+
 @pytest.mark.parametrize("limit", [None, 0, 80, 10_000])
 def test_numbered(spark, limit):
     df, rows = data(spark, 3)
