@@ -57,3 +57,22 @@ def write_table(df: DataFrame, folder: str, name: str, parts: int | None = None)
 def write_practice(db: Practice, folder: str, parts: int | None = None) -> None:
     for name, df in db.items():
         write_table(df, folder, name, parts)
+
+
+# bucketed layout: visits lie with their session, so the join every report begins with needs
+# no shuffle. A session is one meeting, so no bucket key is hot.
+BUCKETED = {"visit": "session_id", "session": "id"}
+
+
+def save_bucketed(df: DataFrame, name: str, buckets: int, path: str, table: str) -> None:
+    """A new version of a table as catalog table ``table``, bucketed and sorted by its join
+    key. Both sides of the join need the same number of buckets."""
+    key = BUCKETED[name]
+    # one task per bucket writes one file per bucket
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", path).mode("errorifexists").saveAsTable(table))
+
+
+def bucketed_practice(spark: SparkSession, db: Practice, names: dict[str, str]) -> Practice:
+    """``db`` with some of its tables read from the catalog (name -> catalog table)."""
+    return db.replaced(**{name: spark.table(table) for name, table in names.items()})

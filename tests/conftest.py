@@ -10,9 +10,11 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from tallywork import schema  # noqa: E402
-from tallywork.catalog import Case  # noqa: E402
+from tallywork.catalog import AT, DORMANT_BEFORE, Case  # noqa: E402
+from tallywork.plans import upkeep  # noqa: E402
 from tallywork.practice import Practice  # noqa: E402
 from tallywork.session import build_session  # noqa: E402
+from tallywork.sources import tables  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,8 +30,18 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def case(spark):
-    return Case(spark, SMALL)
+def case(spark, tmp_path_factory):
+    """The small tables, derived and stored once, as a practice would keep them."""
+    folder = str(tmp_path_factory.mktemp("practice"))
+    derived = Case(spark, SMALL)
+    tables.write_practice(derived.raw, folder, 2)
+    raw = tables.read_practice(spark, folder)
+    kept = upkeep.with_balances(raw, DORMANT_BEFORE, AT).client
+    tables.write_table(kept, f"{folder}/kept", "client", 1)
+    stored = Case(spark, SMALL)
+    stored.__dict__.update(
+        raw=raw, db=raw.replaced(client=tables.read_table(spark, f"{folder}/kept", "client")))
+    return stored
 
 
 def d(text: str) -> datetime.date:

@@ -156,3 +156,21 @@ def test_older_versions_of_a_table(spark):
 
 def test_differences_are_found(case):
     assert reports.stored_due_differences(case.db, AT.date()).count() == 0
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tiny, tmp_path):
+    names = {}
+    for name in tables.BUCKETED:
+        names[name] = f"bucketed_{name}"
+        tables.save_bucketed(tiny[name], name, 4, str(tmp_path / name), names[name])
+    db = tables.bucketed_practice(spark, tiny, names)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = views.dated_visits(db)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert rows(views.client_balances(db)) == rows(views.client_balances(tiny))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for table_name in names.values():
+            spark.sql(f"drop table {table_name}")
