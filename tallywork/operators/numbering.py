@@ -9,9 +9,10 @@ chunk to chunk. A client with a third of all visits is spread over as many tasks
 has chunks, and only its summary rows meet in one. Where even those may be many (the
 clients of a group), chunks are put into coarser chunks first, and so on up.
 
-Which groups are busy is told by a frame of their keys. It has at most (rows / limit)
-rows, so it is broadcast: busy rows leave the plain path before any shuffle. When it is
-empty, as it mostly is, adaptive execution drops the chunked path.
+Which groups are busy is told by a frame of their keys. Whether there are any is looked up
+once, when the query is built (a count of narrow rows); mostly there are none, and the
+plan is the plain window alone. Otherwise the keys, at most (rows / limit) of them, are
+broadcast, and busy rows leave the plain path before any shuffle.
 """
 
 from __future__ import annotations
@@ -91,9 +92,11 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], chunk
     """
     if busy is None:
         return _numbered_in_chunks(df, group, order, chunk, out)
+    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
+    if busy.isEmpty():
+        return df.withColumn(out, number)
     ordinary, large = _split(df, group, busy)
-    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return ordinary.withColumn(out, number.cast("bigint")).unionByName(
+    return ordinary.withColumn(out, number).unionByName(
         _numbered_in_chunks(large, group, order, chunk, out))
 
 
@@ -168,6 +171,8 @@ def runs(df: DataFrame, levels: Sequence[Level], order: Sequence[Column],
     """
     if busy is None:
         return _runs_in_chunks(df, levels, order, part, chunk)
+    if busy.isEmpty():
+        return _runs_in_parts(df, levels, order, part)
     ordinary, large = _split(df, part, busy)
     return _runs_in_parts(ordinary, levels, order, part).unionByName(
         _runs_in_chunks(large, levels, order, part, chunk))
