@@ -131,8 +131,10 @@ class Vocabulary:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-#: A worker keeps it from task to task.
-vocabulary_of = functools.lru_cache(maxsize=2)(Vocabulary)
+@functools.lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> Vocabulary:
+    """A worker keeps it from task to task."""
+    return Vocabulary(path)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

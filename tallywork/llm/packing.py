@@ -58,7 +58,10 @@ class ByteLevel:
             return np.array(self.exact().encode(text, add_special_tokens=False).ids, "<u4")
 
 
-byte_level = functools.lru_cache(maxsize=2)(ByteLevel)
+@functools.lru_cache(maxsize=2)
+def byte_level(path: str) -> ByteLevel:
+    """A worker keeps it from task to task."""
+    return ByteLevel(path)
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
