@@ -16,27 +16,26 @@ SMALL_GROUP = 8
 
 
 def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows (k, c, n): the pairs (a, b) of different c that share a key, and the rows of large
-    groups, whose other pairs are left for ``rest_pairs``.
+    """From rows (k, c): the pairs (a, b) of different c that share a key, and the rows of large
+    groups, whose other pairs are left for ``hub_pairs`` and ``rest_pairs``.
 
     The keys are dealt out and sorted by Spark; a task then streams over its sorted rows and holds
-    no more than SMALL_GROUP of them, however large a group is. n is the set size; it rides along
-    for the size filter.
+    no more than SMALL_GROUP of them, however large a group is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, hub, last, count = None, [], None, None, 0
-        out: list[tuple[int, int, int, int, int | None]] = []
+        key, members, last, count = None, [], None, 0
+        out: list[tuple[int, int, int | None]] = []
 
         def flush():
             nonlocal out
             cols = list(zip(*out, strict=True))
             out = []
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols], ["a", "na", "b", "nb", "k"])
+                [pa.array(c, pa.int64()) for c in cols], ["a", "b", "k"])
 
         for batch in batches:
-            ks, cs, ns = (batch.column(x).to_numpy() for x in ("k", "c", "n"))
+            ks, cs = (batch.column(x).to_numpy() for x in ("k", "c"))
             if not len(ks):
                 continue
             # only rows whose neighbour has the same key matter
@@ -45,23 +44,21 @@ def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
             wanted = same[1:] | same[:-1]
             wanted[0] |= key is not None and ks[0] == key
             wanted[-1] = True  # it may go on in the next batch
-            for k, c, n in zip(ks[wanted].tolist(), cs[wanted].tolist(), ns[wanted].tolist(),
-                               strict=True):
+            for k, c in zip(ks[wanted].tolist(), cs[wanted].tolist(), strict=True):
                 if k != key:
-                    key, members, hub, last, count = k, [(c, n)], (c, n), (c, n), 1
+                    key, members, last, count = k, [c], c, 1
                     continue
-                if c == last[0]:
+                if c == last:
                     continue
                 count += 1
                 if count <= SMALL_GROUP:
-                    out += [(m[0], m[1], c, n, None) for m in members]
-                    members.append((c, n))
+                    out += [(m, c, None) for m in members]
+                    members.append(c)
                 else:
                     if count == SMALL_GROUP + 1:
-                        out += [(m[0], m[1], m[0], m[1], k) for m in members]
-                    out += [(hub[0], hub[1], c, n, None), (last[0], last[1], c, n, None),
-                            (c, n, c, n, k)]
-                last = (c, n)
+                        out += [(m, m, k) for m in members]
+                    out += [(members[0], c, None), (last, c, None), (c, c, k)]
+                last = c
                 if len(out) >= 20_000:
                     yield flush()
         if out:
@@ -69,29 +66,43 @@ def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     let_workers_import(keyed.sparkSession)
     dealt = keyed.repartition("k").sortWithinPartitions("k", "c")
-    found = stored(dealt.mapInArrow(run, "a long, na long, b long, nb long, k long"), "pairs")
-    pairs = found.filter("k is null").select("a", "na", "b", "nb").distinct()
-    large = found.filter("k is not null").select("k", F.col("a").alias("c"), F.col("na").alias("n"))
+    found = stored(dealt.mapInArrow(run, "a long, b long, k long"), "pairs")
+    pairs = found.filter("k is null").select("a", "b").distinct()
+    large = found.filter("k is not null").select("k", F.col("a").alias("c"))
     return pairs, large
 
 
-def rest_pairs(large: DataFrame, labels: DataFrame, tried: DataFrame,
-               compatible: Callable) -> DataFrame:
-    """The pairs of large groups that may still join components: members of one group in different
-    components, of compatible sizes, not tried yet. Groups that lie in one component drop out
-    first, so what remains are outsiders of a group, against the rest of it."""
+def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (k, c, label) of groups that lie in more than one component."""
     named = (large.join(labels, large.c == labels.node, "left")
-             .select("k", "c", "n", F.coalesce("label", "c").alias("label")))
-    open_keys = (named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                 .filter("lo <> hi").select("k"))
-    named = named.join(open_keys, "k", "left_semi")
-    x, y = named.alias("x"), named.alias("y")
+             .select("k", "c", F.coalesce("label", "c").alias("label")))
+    keys = (named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+            .filter("lo <> hi").select("k"))
+    return named.join(keys, "k", "left_semi")
+
+
+def hub_pairs(large: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """Every member of a large group with the group's most central one: the member of most large
+    groups, which is what copies of one text have in common. One row per member and group."""
+    rank = large.groupBy("c").agg(F.count("*").alias("weight"))
+    rows = _open(large, labels).join(rank, "c")
+    hubs = rows.groupBy("k").agg(F.max(F.struct("weight", "c", "label")).alias("hub"))
+    pairs = (rows.join(hubs, "k").filter("label <> hub.label")
+             .select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct())
+    return pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def rest_pairs(large: DataFrame, labels: DataFrame, tried: DataFrame, about: DataFrame,
+               close: Callable) -> DataFrame:
+    """All pairs of large groups that may still join components: members of one group in different
+    components that are ``close`` (a condition inside the join, so others are never rows). Groups in
+    one component drop out first; what remains are outsiders of a group, against the rest of it."""
+    rows = _open(large, labels).join(about, "c")
+    x, y = rows.alias("x"), rows.alias("y")
     both = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c"))
-                  & (F.col("x.label") != F.col("y.label"))
-                  & compatible(F.col("x.n"), F.col("y.n")))
-    pairs = both.select(F.col("x.c").alias("a"), F.col("x.n").alias("na"),
-                        F.col("y.c").alias("b"), F.col("y.n").alias("nb")).distinct()
-    return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+                  & (F.col("x.label") != F.col("y.label")) & close("x", "y"))
+    pairs = both.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:

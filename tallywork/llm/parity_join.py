@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.linking import components, key_pairs, rest_pairs
+from tallywork.llm.linking import components, hub_pairs, key_pairs, rest_pairs
 from tallywork.llm.tables import id_and_text, mapped, record, stored, text_bytes
 from tallywork.llm.words import U, mix, shared, shingles
 
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.6
+#: Bits of the folded sketch that rides along where pairs of large groups are compared.
+FOLD = 1024
 SKETCH_SEED, PART_SEED = U(0x51ED270B9F4A7C15), U(0xD6E8FEB86659FD93)
 
 
@@ -62,6 +64,14 @@ class Likeness:
     def linked(self, n_a: int, n_b: int, both: int) -> bool:
         return 100 * both >= self.per_cent * (n_a + n_b - both)
 
+    def close(self, x: str, y: str) -> Column:
+        """For a join: sizes that fit, and folded sketches no further apart than linked sets'."""
+        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+        apart = F.aggregate(F.zip_with(f"{x}.fold", f"{y}.fold", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                            F.lit(0), lambda total, bits: total + F.coalesce(bits, F.lit(0)))
+        most = nx + ny - 2 * F.ceil(F.lit(self.per_cent) * (nx + ny) / F.lit(100.0 + self.per_cent) - 1e-6)
+        return self.sizes_fit(nx, ny) & (apart <= most)
+
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return 100 * F.least(a, b) >= self.per_cent * F.greatest(a, b)
 
@@ -119,6 +129,14 @@ def sketch(grams: np.ndarray) -> bytes:
     return np.packbits(flips, bitorder="little").tobytes()
 
 
+def folded(whole: bytes) -> list[int]:
+    """A sketch folded to FOLD bits, as signed 64-bit words; a shorter one is no use there: none."""
+    bits = np.frombuffer(whole, np.uint8)
+    while len(bits) > FOLD // 8:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits.view(np.int64).tolist() if len(bits) == FOLD // 8 else []
+
+
 def hamming(a: bytes, b: bytes) -> int:
     """Of two sketches; the longer is folded (XOR of halves), which keeps the lower bound."""
     x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
@@ -146,20 +164,22 @@ def sets(docs: DataFrame, like: Likeness) -> DataFrame:
             return record(doc_id=batch.column("doc_id"),
                           n_shingles=pa.array([len(g) for g in grams], pa.int64()),
                           c=pa.array(map(class_id, grams), pa.int64()),
-                          sketch=pa.array(map(sketch, grams), pa.binary()))
+                          sketch=pa.array(drawn := list(map(sketch, grams)), pa.binary()),
+                          fold=pa.array(map(folded, drawn), pa.list_(pa.int64())))
         return work
 
-    return mapped(id_and_text(docs), make, "doc_id long, n_shingles long, c long, sketch binary")
+    return mapped(id_and_text(docs), make,
+                  "doc_id long, n_shingles long, c long, sketch binary, fold array<long>")
 
 
 def keys(docs: DataFrame, like: Likeness) -> DataFrame:
-    """k, c, n: the keys of each class. A task gives them once for the copies that it reads."""
+    """k, c: the keys of each class. A task gives them once for the copies that it reads."""
 
     def make():
         seen: set[int] = set()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            ks, cs, ns = [], [], []
+            ks, cs = [], []
             for grams in shingles(*text_bytes(batch.column("text")), like.size, like.lower):
                 c = class_id(grams)
                 if not c or c in seen:
@@ -168,31 +188,29 @@ def keys(docs: DataFrame, like: Likeness) -> DataFrame:
                 found = part_keys(grams, like).view(np.int64)
                 ks.append(found)
                 cs.append(np.full(len(found), c))
-                ns.append(np.full(len(found), len(grams)))
             if not ks:
                 return None
-            return record(k=np.concatenate(ks), c=np.concatenate(cs), n=np.concatenate(ns))
+            return record(k=np.concatenate(ks), c=np.concatenate(cs))
         return work
 
-    return mapped(id_and_text(docs), make, "k long, c long, n long")
+    return mapped(id_and_text(docs), make, "k long, c long")
 
 
 def near(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     """Pairs whose sketches are near enough."""
-    a = classes.select(F.col("c").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = classes.select(F.col("c").alias("b"), F.col("sketch").alias("sketch_b"))
+    a, b = (classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"),
+                           F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = zip(*(batch.column(x).to_pylist() for x in ("na", "nb", "sketch_a", "sketch_b")),
                        strict=True)
             fine = [hamming(x, y) <= _most_apart(na, nb, like.per_cent) for na, nb, x, y in rows]
-            return batch.select(["a", "na", "b", "nb"]).filter(pa.array(fine, pa.bool_()))
+            return batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
         return work
 
-    return mapped(pairs.filter(like.sizes_fit(F.col("na"), F.col("nb"))).join(a, "a").join(b, "b")
-                  .select("a", "na", "b", "nb", "sketch_a", "sketch_b"), make,
-                  "a long, na long, b long, nb long")
+    both = pairs.join(a, "a").join(b, "b").filter(like.sizes_fit(F.col("na"), F.col("nb")))
+    return mapped(both.select("a", "na", "b", "nb", "sketch_a", "sketch_b"), make, "a long, b long")
 
 
 def _most_apart(n_a: int, n_b: int, per_cent: int) -> int:
@@ -202,7 +220,7 @@ def _most_apart(n_a: int, n_b: int, per_cent: int) -> int:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """The linked ones of pairs (a, na, b, nb), by their exact sets; texts: c, text, one each."""
+    """The linked ones of pairs (a, b), by their exact sets; texts: c, text, one each."""
     a = texts.select(F.col("c").alias("a"), F.col("text").alias("text"))
     b = texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
 
@@ -256,26 +274,34 @@ def classes_of(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     every = stored(sets(docs, like), "sets")
     classes = stored(every.filter("c <> 0").groupBy("c").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"),
-        F.first("sketch").alias("sketch")), "classes")
+        F.first("sketch").alias("sketch"), F.first("fold").alias("fold")), "classes")
     pairs, large = key_pairs(keys(docs, like))
-    close = stored(near(pairs, classes, like), "near")
 
     def check(candidates: DataFrame) -> DataFrame:
+        candidates = stored(candidates, "near")
+        if candidates.isEmpty():
+            return candidates
         nodes = candidates.select(F.col("a").alias("c")).union(candidates.select("b")).distinct()
         wanted = nodes.join(classes.filter("doc is not null"), "c").select("c", F.col("doc").alias("doc_id"))
         return stored(verified(candidates, stored(classed_texts(docs, wanted, like), "texts"), like),
                       "links")
 
-    links = check(close)
+    links = check(near(pairs, classes, like))
     labels = components(links)
-    left = rest_pairs(large, labels, pairs, like.sizes_fit)
-    more = stored(near(left, classes, like), "near")
-    if not more.isEmpty():
-        links = links.unionByName(check(more))
-        labels = components(links)
+    tried = pairs
+    # hubs first, as long as they join components; then whatever pairs are left, exactly
+    for rest in (False, True):
+        while True:
+            left = stored(rest_pairs(large, labels, tried, classes.select("c", "n", "fold"), like.close)
+                          if rest else hub_pairs(large, labels, tried), "left")
+            new = check(near(left, classes, like))
+            if new.isEmpty():
+                break
+            links, tried = links.unionByName(new), tried.unionByName(left)
+            labels = components(links)
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
-    return every.drop("sketch"), named
+    return every.drop("sketch", "fold"), named
 
 
 def joined(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
