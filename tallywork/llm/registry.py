@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywork.llm import bpe, packing, parity_join, quality, toxicity
+from tallywork.llm import (
+    bpe,
+    chunking,
+    minhash,
+    packing,
+    parity_join,
+    pii,
+    quality,
+    suffix_dedup,
+    toxicity,
+    urls,
+)
 from tallywork.llm.tables import read
 
 
@@ -14,17 +25,37 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
                                 public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(read(spark, folder, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join.joined(read(spark, folder, "documents"),
                               parity_join.Likeness(size=3, per_cent=90))
 
 
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.fingerprints(read(spark, folder, "documents"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     entries = quality.judged(quality.ledger(read(spark, folder, "documents")))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                           "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(read(spark, folder, "pages"))
+
+
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removal_digests(read(spark, folder, "documents"))
+
+
+def op8_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.deduplicated(read(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -34,6 +65,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
                           public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op5_quality, op9_toxicity,
-                                   op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_bpe, op2_pii, op3_ngram_jaccard, op4_minhash, op5_quality, op6_urls, op7_suffix_dedup,
+    op8_chunk_dedup, op9_toxicity, op10_packing)}
 SQL: dict[str, str] = {}
