@@ -81,10 +81,12 @@ def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(keys, "k", "left_semi")
 
 
-def hub_pairs(large: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Every member of a large group with the group's most central one: the member of most large
-    groups, which is what copies of one text have in common. One row per member and group."""
-    rank = large.groupBy("c").agg(F.count("*").alias("weight"))
+def hub_pairs(large: DataFrame, labels: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
+    """Every member of a large group with one of the group: in turn 0 the most central one (the
+    member of most large groups, which is what copies of one text have in common), later another
+    one each time, the same in all groups that hold it. One row per member and group."""
+    weight = F.count("*") if turn == 0 else F.xxhash64("c", F.lit(turn))
+    rank = large.groupBy("c").agg(weight.alias("weight"))
     rows = _open(large, labels).join(rank, "c")
     hubs = rows.groupBy("k").agg(F.max(F.struct("weight", "c", "label")).alias("hub"))
     pairs = (rows.join(hubs, "k").filter("label <> hub.label")
@@ -105,6 +107,31 @@ def rest_pairs(large: DataFrame, labels: DataFrame, tried: DataFrame, about: Dat
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
+def linked_through(pairs: DataFrame, large: DataFrame, check: Callable[[DataFrame], DataFrame],
+                   about: DataFrame, close: Callable) -> DataFrame:
+    """node, label for every node with a link, from the candidates that ``check`` finds linked.
+
+    Large groups meet one hub after another, as long as that joins components: a few times as many
+    pairs as members. What is left then is compared in full."""
+    links, tried = check(pairs), pairs
+    labels = components(links)
+    turn = quiet = 0
+    while True:
+        rest = quiet >= 2
+        left = stored(rest_pairs(large, labels, tried, about, close) if rest
+                      else hub_pairs(large, labels, tried, turn), "left")
+        new = check(left)
+        tried, turn = tried.unionByName(left), turn + 1
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
+            quiet = 0 if not rest else quiet
+        elif rest:
+            return labels
+        else:
+            quiet += 1
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links (a, b) reach, for every node with a link.
 

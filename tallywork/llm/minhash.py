@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.linking import components, hub_pairs, key_pairs, rest_pairs
+from tallywork.llm.linking import key_pairs, linked_through
 from tallywork.llm.parity_join import Likeness, class_id, classed_texts, verified
 from tallywork.llm.tables import (
     id_and_text,
@@ -176,18 +176,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80) -> DataFrame:
                   .select("c", F.col("doc").alias("doc_id")))
         return stored(verified(candidates, classed_texts(docs, wanted, like), like), "links")
 
-    links, tried = check(pairs), pairs
-    labels = components(links)
-    about = classes.select("c")
-    for rest in (False, True):
-        while True:
-            left = stored(rest_pairs(large, labels, tried, about, lambda x, y: F.lit(True)) if rest
-                          else hub_pairs(large, labels, tried), "left")
-            new = check(left)
-            if new.isEmpty():
-                break
-            links, tried = links.unionByName(new), tried.unionByName(left)
-            labels = components(links)
+    labels = linked_through(pairs, large, check, classes.select("c"), lambda x, y: F.lit(True))
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.linking import components, hub_pairs, key_pairs, rest_pairs
+from tallywork.llm.linking import key_pairs, linked_through
 from tallywork.llm.tables import id_and_text, mapped, record, stored, text_bytes
 from tallywork.llm.words import U, mix, shared, shingles
 
@@ -278,7 +278,7 @@ def classes_of(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     pairs, large = key_pairs(keys(docs, like))
 
     def check(candidates: DataFrame) -> DataFrame:
-        candidates = stored(candidates, "near")
+        candidates = stored(near(candidates, classes, like), "near")
         if candidates.isEmpty():
             return candidates
         nodes = candidates.select(F.col("a").alias("c")).union(candidates.select("b")).distinct()
@@ -286,19 +286,7 @@ def classes_of(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
         return stored(verified(candidates, stored(classed_texts(docs, wanted, like), "texts"), like),
                       "links")
 
-    links = check(near(pairs, classes, like))
-    labels = components(links)
-    tried = pairs
-    # hubs first, as long as they join components; then whatever pairs are left, exactly
-    for rest in (False, True):
-        while True:
-            left = stored(rest_pairs(large, labels, tried, classes.select("c", "n", "fold"), like.close)
-                          if rest else hub_pairs(large, labels, tried), "left")
-            new = check(near(left, classes, like))
-            if new.isEmpty():
-                break
-            links, tried = links.unionByName(new), tried.unionByName(left)
-            labels = components(links)
+    labels = linked_through(pairs, large, check, classes.select("c", "n", "fold"), like.close)
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
     return every.drop("sketch", "fold"), named

@@ -361,9 +361,11 @@ def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents with later copies cut out of their texts and the first kept; n_chars, where
     there is one, follows. Other columns stay as they are."""
     rows = id_and_text(docs)
-    spans = repeated_strings(rows, True, block).withColumnRenamed("doc_id", "_marked")
-    joined = docs.join(spans, docs.doc_id.cast("long").eqNullSafe(spans._marked), "left").drop("_marked")
     names = docs.columns
+    lead = "_" * max(map(len, names))  # longer than any name of theirs
+    mark, cuts = f"{lead}mark", f"{lead}cuts"
+    spans = repeated_strings(rows, True, block).select(F.col("doc_id").alias(mark), F.col("spans").alias(cuts))
+    joined = docs.join(spans, docs.doc_id.cast("long").eqNullSafe(F.col(mark)), "left").drop(mark)
     text_at, spans_at = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
