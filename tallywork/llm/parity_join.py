@@ -129,12 +129,11 @@ def sketch(grams: np.ndarray) -> bytes:
     return np.packbits(flips, bitorder="little").tobytes()
 
 
-def folded(whole: bytes) -> list[int]:
-    """A sketch folded to FOLD bits, as signed 64-bit words; a shorter one is no use there: none."""
-    bits = np.frombuffer(whole, np.uint8)
-    while len(bits) > FOLD // 8:
-        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
-    return bits.view(np.int64).tolist() if len(bits) == FOLD // 8 else []
+def folded(grams: np.ndarray) -> list[int]:
+    """The sketch of FOLD bits, as signed 64-bit words: a longer sketch folded, a shorter one spread."""
+    bit = (mix(grams ^ SKETCH_SEED) & U(FOLD - 1)).astype(np.int64)
+    flips = (np.bincount(bit, minlength=FOLD) & 1).astype(np.uint8)
+    return np.packbits(flips, bitorder="little").view(np.int64).tolist()
 
 
 def hamming(a: bytes, b: bytes) -> int:
@@ -164,8 +163,8 @@ def sets(docs: DataFrame, like: Likeness) -> DataFrame:
             return record(doc_id=batch.column("doc_id"),
                           n_shingles=pa.array([len(g) for g in grams], pa.int64()),
                           c=pa.array(map(class_id, grams), pa.int64()),
-                          sketch=pa.array(drawn := list(map(sketch, grams)), pa.binary()),
-                          fold=pa.array(map(folded, drawn), pa.list_(pa.int64())))
+                          sketch=pa.array(map(sketch, grams), pa.binary()),
+                          fold=pa.array(map(folded, grams), pa.list_(pa.int64())))
         return work
 
     return mapped(id_and_text(docs), make,
