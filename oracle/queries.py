@@ -652,12 +652,20 @@ select client_id, page, min(carrier_name) carrier_name, min(patient_name) patien
 from claim_slot group by 1,2""")
 
 
+#: Room for the amounts on the printed claim.
+_ROOM = {"charge": 8, "charge_sum": 9, "paid_sum": 8, "balance_sum": 8}
+
+
 def _line_sql(line) -> str:
     parts, at = [], 1
     for p in line:
         if p.start > at:
             parts.append("'" + " " * (p.start - at) + "'")
         cut = f"substr(coalesce(cast({p.field} as varchar), ''), 1, {p.width})"
+        if p.field in _ROOM:
+            text, room = f"cast({p.field} as varchar)", _ROOM[p.field]
+            cut = (f"case when length({text}) <= {room} then {text} when length(replace({text}, ',', '')) <= {room} "
+                   f"then replace({text}, ',', '') else repeat('*', {room}) end")
         if p.align == "center":
             cut = f"repeat(' ', cast(floor(({p.width} - length({cut})) / 2) as int)) || {cut}"
         parts.append(f"{'lpad' if p.align == 'right' else 'rpad'}({cut}, {p.width}, ' ')")
@@ -706,9 +714,9 @@ select t.client_id, t.claim_uid, t.service_lines n, p.*exclude(client_id), {_BOX
   strftime(dob,'%m') dob_m, strftime(dob,'%d') dob_d, strftime(dob,'%Y') dob_y,
   strftime(insured_dob,'%m') insured_dob_m, strftime(insured_dob,'%d') insured_dob_d, strftime(insured_dob,'%Y') insured_dob_y,
   case when instr(patient_phone,' ')>0 then split_part(patient_phone,' ',1) end patient_acode,
-  case when instr(patient_phone,' ')>0 then split_part(patient_phone,' ',2) else patient_phone end patient_no,
+  case when instr(patient_phone,' ')>0 then substr(patient_phone, instr(patient_phone,' ')+1) else patient_phone end patient_no,
   case when instr(insured_phone,' ')>0 then split_part(insured_phone,' ',1) end insured_acode,
-  case when instr(insured_phone,' ')>0 then split_part(insured_phone,' ',2) else insured_phone end insured_no,
+  case when instr(insured_phone,' ')>0 then substr(insured_phone, instr(insured_phone,' ')+1) else insured_phone end insured_no,
   b.npi provider_npi, b.tax_id, b.name provider_name, b.address provider_address, b.city_st_zip provider_city_st_zip
 from print_total t join ({_PARTY}) p on p.client_id = t.client_id
 join p_therapist b on b.tax_id is not null"""
@@ -729,6 +737,10 @@ select *, row_number() over (partition by client_id, claim_uid order by session_
 
 
 SQL["c05_printed_claims"] = printed_claims()
+add("c05_unprintable_amounts", "client_id claim_uid field amount", "\nunion all ".join(
+    f"select client_id, claim_uid, '{f}' field, cast({f} as varchar) amount "
+    f"from {'service' if f == 'charge' else 'whole'} where length(replace(cast({f} as varchar), ',', '')) > {room}"
+    for f, room in _ROOM.items()))
 add("c06_check_boxes", "client_id " + " ".join(b for boxes in _BOXES.values() for b in boxes),
     f"select client_id, {_BOX_SQL} from ({_PARTY})")
 add("c07_stamped_claims", "visit_id claim_uid", STAMPED)

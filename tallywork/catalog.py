@@ -166,7 +166,7 @@ def _claims_csv(c: Case) -> DataFrame:
 @query("s10_fixed_width_lines")
 def _balance_lines(c: Case) -> DataFrame:
     P = print_layout.Piece
-    layout = [[P(1, 20, "name"), P(23, 14, "balance", "right"), P(40, 12, "state", "center")]]
+    layout = [[P(1, 20, "name"), P(23, 14, "balance", "right", amount=True), P(40, 12, "state", "center")]]
     df = c.db.client.select("id", "name", billing.money_commas(F.col("balance")).alias("balance"),
                             F.when(F.col("voucher") == 1, "voucher").alias("state"))
     out = c.scratch("lines")
@@ -634,6 +634,7 @@ _add(
     c03_claim_slots=lambda c: _safe(claims.claim_file(c.raw, None, AS_OF)),
     c04_claim_review=lambda c: claims.claim_review(c.raw, None),
     c05_printed_claims=lambda c: claims.printed_claims(c.raw, AS_OF),
+    c05_unprintable_amounts=lambda c: claims.unprintable_amounts(c.raw),
     c06_check_boxes=lambda c: claims.check_boxes(claims.claim_parties(c.raw)).select(
         "client_id", *[b for boxes in claims.CHECK_BOXES.values() for b in boxes]),
     c07_stamped_claims=lambda c: claims.stamps(c.sent, c.results),

@@ -85,7 +85,8 @@ def starred(details: Column, note: Column) -> Column:
 
 
 def has_text(text: Column) -> Column:
-    return text > ""
+    """Blanks alone are no text."""
+    return F.rtrim(text) > ""
 
 
 def same_text(a: Column, b: Column) -> Column:

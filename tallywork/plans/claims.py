@@ -265,10 +265,12 @@ def _date_parts(name: str, date: Column, year: str = "%Y") -> dict[str, Column]:
 
 
 def _phone_parts(name: str, phone: Column) -> dict[str, Column]:
-    """Area code and number of ``913 5550100``; without a blank all of it is the number."""
+    """Area code and number of ``913 5550100``, divided at the first blank; without one all of it
+    is the number."""
     both = F.instr(phone, " ") > 0
+    rest = phone.substr(F.instr(phone, " ") + 1, F.length(phone))
     return {f"{name}_acode": F.when(both, F.substring_index(phone, " ", 1)),
-            f"{name}_no": F.when(both, F.substring_index(phone, " ", -1)).otherwise(phone)}
+            f"{name}_no": F.when(both, rest).otherwise(phone)}
 
 
 # --- fixed values: check boxes of the printed form -------------------------------
@@ -292,6 +294,24 @@ def check_boxes(df: DataFrame) -> DataFrame:
                            for box, option in boxes.items()})
 
 
+def _printed_sums(db: Practice) -> DataFrame:
+    """Totals of printed claims as text."""
+    totals = printed_claim_totals(db)
+    return totals.withColumns({text: billing.money_commas(F.col(c)) for text, c in (
+        ("charge_sum", "charges"), ("paid_sum", "client_paid"), ("balance_sum", "balance"))}).drop(
+            "charges", "client_paid", "balance")
+
+
+def unprintable_amounts(db: Practice) -> DataFrame:
+    """(client_id, claim_uid, field, amount): amounts too long for the form, which show as asterisks."""
+    from tallywork.sources import print_layout as layout
+
+    key = ["client_id", "claim_uid"]
+    totals = _printed_sums(db).join(claim_parties(db).select("client_id"), "client_id", "left_semi")
+    return layout.wide_amounts(totals, key, layout.FOOTER).unionByName(
+        layout.wide_amounts(printed_claim_lines(db), key, layout.SERVICE))
+
+
 def printed_claims(db: Practice, as_of: datetime.date) -> DataFrame:
     """Claims as fixed-width lines: (client_id, claim_uid, line_no, text).
 
@@ -302,16 +322,11 @@ def printed_claims(db: Practice, as_of: datetime.date) -> DataFrame:
 
     today = dates.formatted(dates.day(as_of), US_DATE)
     dob, insured_dob = (dates.parsed(F.col(c), US_DATE) for c in ("patient_dob", "insured_dob"))
-    totals = printed_claim_totals(db).withColumnsRenamed(
-        {"charges": "charge_sum", "client_paid": "paid_sum", "balance": "balance_sum"})
-    whole = (check_boxes(totals.join(claim_parties(db), "client_id")
+    whole = (check_boxes(_printed_sums(db).join(claim_parties(db), "client_id")
                          .join(billing_providers(db), "provider_id"))
              .withColumns({
                  "today": today, "signed": F.lit(SIGNED), "x": F.lit("X"),
                  "no_charge": F.lit("0 00"), "page_break": F.lit("\f"),
-                 "charge_sum": billing.money_commas(F.col("charge_sum")),
-                 "paid_sum": billing.money_commas(F.col("paid_sum")),
-                 "balance_sum": billing.money_commas(F.col("balance_sum")),
                  **_date_parts("dob", dob), **_date_parts("insured_dob", insured_dob),
                  **_phone_parts("patient", F.col("patient_phone")),
                  **_phone_parts("insured", F.col("insured_phone"))}))

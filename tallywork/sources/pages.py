@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tallywork.functions import billing, dates
 
 # --- fixed values: patterns of the markup ---------------------------------------
-LINK = r"(?s)<a\s[^>]*?href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-ROW = r"(?s)<tr[^>]*>(.*?)</tr>"
-CELL = r"(?s)<td[^>]*>(.*?)</td>"
+HREF = r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""  # three ways of quoting
+LINK = r"(?is)<a\s[^>]*?" + HREF + r"[^>]*>(.*?)</a>"
+LIST = r"""(?is)<table[^>]*align\s*=\s*["']?center[^>]*>(.*?)</table>"""
+ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
+CELL = r"(?is)<td[^>]*>(.*?)</td>"
 TAG = r"<[^>]*>"
 
 # --- fixed values: place of each field among a status row's cells, from 0 -------
@@ -26,10 +28,11 @@ def _all(text: str, pattern: str, group: int = 1) -> Column:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, link_text, href) of every link of every page, in page order."""
-    links = F.arrays_zip(_all("html", LINK, 1).alias("href"), _all("html", LINK, 2).alias("text"))
+    links = F.arrays_zip(*[_all("html", LINK, i).alias(x) for i, x in enumerate("abc", 1)],
+                         _all("html", LINK, 4).alias("text"))
     return (pages.select("page_id", F.posexplode(links).alias("pos", "link"))
             .select("page_id", "pos", plain(F.col("link.text")).alias("link_text"),
-                    F.col("link.href").alias("href")))
+                    F.concat("link.a", "link.b", "link.c").alias("href")))
 
 
 def plain(markup: Column) -> Column:
@@ -38,9 +41,10 @@ def plain(markup: Column) -> Column:
 
 
 def extract_claim_rows(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Claim rows of status lists: the heading row of each list is skipped. ``keep`` names
-    columns of ``pages`` to carry along."""
-    rows = (pages.select(*keep, F.posexplode(_all("html", ROW)).alias("pos", "row"))
+    """Claim rows of status lists: the first centred table of a page, without its heading row.
+    ``keep`` names columns of ``pages`` to carry along."""
+    rows = (pages.select(*keep, F.regexp_extract("html", LIST, 1).alias("_list"))
+            .select(*keep, F.posexplode(_all("_list", ROW)).alias("pos", "row"))
             .where("pos > 0")
             .select(*keep, "pos", _all("row", CELL).alias("cells")))
 
@@ -53,7 +57,8 @@ def extract_claim_rows(pages: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(
         *keep, "pos",
         text(TRACE).try_cast("bigint").alias("trace_no"),
-        F.regexp_extract(F.get("cells", F.lit(TRACE)), r"href=[\"']([^\"']*)[\"']", 1).alias("href"),
+        F.concat(*[F.regexp_extract(F.get("cells", F.lit(TRACE)), "(?i)" + HREF, i)
+                   for i in (1, 2, 3)]).alias("href"),
         text(BATCH).try_cast("bigint").alias("batch"), text(STATUS).alias("status"),
         text(LAST).alias("last"), text(FIRST).alias("first"), text(ACCOUNT).alias("acc_no"),
         date(SERVICED).alias("service_date"), date(RECEIVED).alias("date_received"))
@@ -85,7 +90,7 @@ def render_results(sent: DataFrame, names: DataFrame) -> DataFrame:
     """Status lists as the portal would show them for claims sent: (upload_no, page_no,
     html), 25 claims a page. ``names``: (client_id, account_no)."""
     received = F.date_format(F.date_add(F.col("items")[0]["session_date"], 21), "M/d/yyyy")
-    trace = (F.col("upload_no") * 1000000 + F.col("position")).cast("string")
+    trace = (F.col("position") * 1000000 + F.col("upload_no")).cast("string")
     texts = {
         0: F.col("position").cast("string"),
         TRACE: F.concat(F.lit("<a href='view?trace_no="), trace, F.lit("'>"), trace, F.lit("</a>")),

@@ -15,13 +15,25 @@ class Piece:
     width: int
     field: str
     align: str = "left"  # left | right | center
+    amount: bool = False  # a number: never shortened
 
 
 Line = Sequence[Piece]
 
 
+def _digits(p: Piece) -> Column:
+    return F.replace(F.col(p.field).cast("string"), F.lit(","), F.lit(""))
+
+
 def piece_text(p: Piece) -> Column:
-    cut = F.substring(F.coalesce(F.col(p.field).cast("string"), F.lit("")), 1, p.width)
+    """Text is cut to the width. An amount that does not fit goes without commas, and if that does
+    not fit either, a row of asterisks says so; ``wide_amounts`` lists those."""
+    whole = F.coalesce(F.col(p.field).cast("string"), F.lit(""))
+    cut = F.substring(whole, 1, p.width)
+    if p.amount:
+        cut = (F.when(F.length(whole) <= p.width, whole)
+               .when(F.length(_digits(p)) <= p.width, _digits(p))
+               .otherwise("*" * p.width))
     if p.align == "center":
         left = F.floor((p.width - F.length(cut)) / 2).cast("int")
         cut = F.concat(F.repeat(F.lit(" "), left), cut)
@@ -47,6 +59,16 @@ def lines(df: DataFrame, keep: Sequence[str], layout: Sequence[Line],
             .select(*keep, (F.col("_at") + F.col("_pos")).cast("bigint").alias("line_no"), "text"))
 
 
+def wide_amounts(df: DataFrame, keep: Sequence[str], layout: Sequence[Line]) -> DataFrame:
+    """(*keep, field, amount): the amounts of each row that no line of ``layout`` has room for."""
+    found = F.array(*[F.when(F.length(_digits(p)) > p.width,
+                             F.struct(F.lit(p.field).alias("field"),
+                                      F.col(p.field).cast("string").alias("amount")))
+                      for line in layout for p in line if p.amount])
+    return (df.select(*keep, F.explode(F.array_compact(found)).alias("_wide"))
+            .select(*keep, "_wide.field", "_wide.amount"))
+
+
 def write_lines(df: DataFrame, order: Sequence[str], path: str) -> None:
     """Text files which, read in name order, give the lines in ``order``."""
     df.orderBy(*order).select("text").write.mode("errorifexists").text(path)
@@ -60,6 +82,10 @@ def _right(start: int, width: int, field: str) -> Piece:
     return Piece(start, width, field, "right")
 
 
+def _amount(start: int, width: int, field: str) -> Piece:
+    return Piece(start, width, field, "right", amount=True)
+
+
 # --- fixed values: the printed claim form, line by line --------------------------
 HEADING: list[Line] = [
     [Piece(46, 32, "carrier_name")],
@@ -123,13 +149,13 @@ SERVICE: list[Line] = [
     # 39
     [_right(1, 2, "served_m"), _right(4, 2, "served_d"), _right(7, 2, "served_y"),
      Piece(19, 2, "place"), Piece(25, 6, "cpt"), _right(45, 4, "pointer"),
-     _right(50, 8, "charge"), _right(59, 3, "units"), Piece(68, 11, "provider_npi")],
+     _amount(50, 8, "charge"), _right(59, 3, "units"), Piece(68, 11, "provider_npi")],
 ]
 FOOTER: list[Line] = [
     [],
     # 51
     [Piece(1, 15, "tax_id"), _x(17, "x"), Piece(23, 14, "account_no"), _x(38, "x"),
-     _right(51, 9, "charge_sum"), _right(62, 8, "paid_sum"), _right(71, 8, "balance_sum")],
+     _amount(51, 9, "charge_sum"), _amount(62, 8, "paid_sum"), _amount(71, 8, "balance_sum")],
     [],
     [Piece(50, 29, "provider_name")],
     [Piece(50, 29, "provider_address")],

@@ -38,7 +38,7 @@ MAPPING: dict[str, tuple[str, dict[str, str]]] = {
               "cast(l_suppkey as string), cast(l_linenumber as string), "
               "cast(cast(l_shipdate as date) as string))",
         "client_id": "o_custkey",
-        "session_id": "cast(year(l_shipdate)*12+month(l_shipdate)-1 as bigint)*100000+l_suppkey",
+        "session_id": "cast(l_suppkey as bigint)*100000+year(l_shipdate)*12+month(l_shipdate)-1",
         "attend_n": "case when l_quantity<=5 then 0 else 1 end",
         "charge": _CHARGE,
         "client_paid": f"{_CHARGE}*cast(l_discount as decimal(4,2))",
@@ -56,7 +56,7 @@ MAPPING: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "session": ("(select distinct year(l_shipdate) y, month(l_shipdate) m, l_suppkey, s_nationkey "
                 "from {lineitem} join {supplier} on l_suppkey=s_suppkey) x", {
-        "id": "cast(y*12+m-1 as bigint)*100000+l_suppkey",
+        "id": "cast(l_suppkey as bigint)*100000+y*12+m-1",
         "session_date": "make_date(cast(y as int), cast(m as int), cast(1+l_suppkey%28 as int))",
         "time": "case l_suppkey%3 when 0 then null else "
                 "concat(lpad(cast(8+l_suppkey%10 as string), 2, '0'), ':00') end",

@@ -39,17 +39,21 @@ def add_up(parts: DataFrame) -> DataFrame:
 
 def balances(parts: DataFrame, clients: DataFrame | None = None) -> DataFrame:
     """Balances from cells. With ``clients`` (id, billing_cutoff) only days in the client's
-    billing period count."""
-    days = add_up(parts).where("visits > 0")
+    billing period count.
+
+    Money of days without visits left counts (a deletion may differ from its entry); only the days
+    with visits are first or last ones. A client with neither visits nor money has no row."""
+    days = add_up(parts)
     if clients is not None:
         cutoffs = clients.select(F.col("id").alias("client_id"), "billing_cutoff")
         days = days.join(cutoffs, "client_id").where("session_date >= billing_cutoff")
     owed = F.col("charges") - F.col("client_paid") - F.col("insurance_paid")
     return days.groupBy("client_id").agg(
-        F.min("session_date").alias("oldest_session_date"),
-        F.max("session_date").alias("recent"),
+        F.min(F.when(F.col("visits") > 0, F.col("session_date"))).alias("oldest_session_date"),
+        F.max(F.when(F.col("visits") > 0, F.col("session_date"))).alias("recent"),
         *[billing.total(F.col(c)).alias(c) for c in SUMS],
-        billing.total(owed).alias("balance"))
+        billing.total(owed).alias("balance")).where(
+            "recent is not null or charges <> 0 or client_paid <> 0 or insurance_paid <> 0")
 
 
 def write_cells(changes: DataFrame, batch_id: int, folder: str) -> None:

@@ -110,7 +110,7 @@ def test_answers_come_back_to_their_claims(case):
     assert rows(plain.select(*columns)) == rows(cut.select(*columns))
     pairs = claims.paired(plain, case.results)
     assert pairs.count() == plain.count()
-    wrong = pairs.where("trace_no != upload_no * 1000000 + position or "
+    wrong = pairs.where("trace_no != position * 1000000 + upload_no or "
                         "element_at(split(acc_no, '[.]'), -1) != cast(client_id as string)")
     assert wrong.count() == 0
 
