@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallywork.llm import (
     bpe,
@@ -16,6 +17,7 @@ from tallywork.llm import (
     suffix_dedup,
     toxicity,
     urls,
+    whitening,
 )
 from tallywork.llm.tables import read
 
@@ -65,7 +67,12 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
                           public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whitened(read(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_pii, op3_ngram_jaccard, op4_minhash, op5_quality, op6_urls, op7_suffix_dedup,
-    op8_chunk_dedup, op9_toxicity, op10_packing)}
+    op8_chunk_dedup, op9_toxicity, op10_packing, op13_whitening)}
 SQL: dict[str, str] = {}
