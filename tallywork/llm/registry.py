@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm import (
+    alignment,
     bpe,
     chunking,
     minhash,
@@ -67,6 +68,12 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
                           public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment_counts(
+        read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     found = whitening.whitened(read(spark, folder, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").cast("long"))
@@ -74,5 +81,6 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_pii, op3_ngram_jaccard, op4_minhash, op5_quality, op6_urls, op7_suffix_dedup,
-    op8_chunk_dedup, op9_toxicity, op10_packing, op13_whitening)}
+    op8_chunk_dedup, op9_toxicity, op10_packing, op11_alignment,
+    op13_whitening)}
 SQL: dict[str, str] = {}
