@@ -6,18 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.llm.tables import let_workers_import, stored
+from tallywork.llm.likeness import Likeness
+from tallywork.llm.tables import cut, let_workers_import, record, stored, text_bytes
+from tallywork.llm.words import shingles
 
-#: Groups of a key up to this size give all their pairs, larger ones a chain and a star first.
+#: Groups of a key up to this size give all their pairs, larger ones a chain and a star.
 SMALL_GROUP = 8
 
 
 def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From rows (k, c): the pairs (a, b) of different c that share a key, and the rows of large
-    groups, whose other pairs are left for ``hub_pairs`` and ``rest_pairs``.
+    groups, whose other pairs are left for ``linked_through``.
 
     The keys are dealt out and sorted by Spark; a task then streams over its sorted rows and holds
     no more than SMALL_GROUP of them, however large a group is.
@@ -72,64 +74,117 @@ def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, large
 
 
-def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (k, c, label) of groups that lie in more than one component."""
+def open_rows(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (k, c) of groups that lie in more than one component."""
     named = (large.join(labels, large.c == labels.node, "left")
              .select("k", "c", F.coalesce("label", "c").alias("label")))
     keys = (named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
             .filter("lo <> hi").select("k"))
-    return named.join(keys, "k", "left_semi")
-
-
-def hub_pairs(large: DataFrame, labels: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
-    """Every member of a large group with one of the group: in turn 0 the most central one (the
-    member of most large groups, which is what copies of one text have in common), later another
-    one each time, the same in all groups that hold it. One row per member and group."""
-    weight = F.count("*") if turn == 0 else F.xxhash64("c", F.lit(turn))
-    rank = large.groupBy("c").agg(weight.alias("weight"))
-    rows = _open(large, labels).join(rank, "c")
-    hubs = rows.groupBy("k").agg(F.max(F.struct("weight", "c", "label")).alias("hub"))
-    pairs = (rows.join(hubs, "k").filter("label <> hub.label")
-             .select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct())
-    return pairs.join(tried, ["a", "b"], "left_anti")
-
-
-def rest_pairs(large: DataFrame, labels: DataFrame, tried: DataFrame, about: DataFrame,
-               close: Callable) -> DataFrame:
-    """All pairs of large groups that may still join components: members of one group in different
-    components that are ``close`` (a condition inside the join, so others are never rows). Groups in
-    one component drop out first; what remains are outsiders of a group, against the rest of it."""
-    rows = _open(large, labels).join(about, "c")
-    x, y = rows.alias("x"), rows.alias("y")
-    both = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c"))
-                  & (F.col("x.label") != F.col("y.label")) & close("x", "y"))
-    pairs = both.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    return named.join(keys, "k", "left_semi").select("k", "c")
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """c, family, hub: members of the groups (k, c), together with all that groups connect them to; the
+    hub is the member of most groups (which is what copies of one text have in common)."""
+    least = rows.groupBy("k").agg(F.min("c").alias("b"))
+    named = components(rows.join(least, "k").select(F.col("c").alias("a"), "b"))
+    named = named.select(F.col("node").alias("c"), F.col("label").alias("family"))
+    weight = rows.groupBy("c").agg(F.count("*").alias("weight"))
+    hubs = (named.join(weight, "c").groupBy("family")
+            .agg(F.max(F.struct("weight", "c")).alias("top")).select("family", F.col("top.c").alias("hub")))
+    return named.join(hubs, "family")
+
+
+def differences(members: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """For members (c, family, hub, label, outside): a row for each shingle by which a member differs from
+    its family's hub, with the member's size ``n``, the number of such shingles ``many`` and how many of
+    them (``need``) any outsider that links with it shares at least."""
+    own = texts.select("c", "text")
+    hubs = texts.select(F.col("c").alias("hub"), F.col("text").alias("hub_text"))
+    per_cent = like.per_cent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, central = None, None
+        for whole in batches:
+            for batch in cut(whole):
+                grams = shingles(*text_bytes(batch.column("text")), like.size, like.lower)
+                for i, mine in enumerate(grams):
+                    hub = batch.column("hub")[i].as_py()
+                    if hub != last:
+                        last = hub
+                        central = shingles(*text_bytes(batch.column("hub_text").slice(i, 1)),
+                                           like.size, like.lower)[0]
+                    apart = np.setxor1d(mine, central, assume_unique=True)
+                    many = len(apart)
+                    over = many * (100 + per_cent) - (100 - per_cent) * (len(mine) - len(central))
+                    need = over // (2 * (100 + per_cent)) + 1
+                    if many:
+                        yield record(
+                            **{x: pa.repeat(batch.column(x)[i], many)
+                               for x in ("c", "family", "label", "outside")},
+                            gram=apart.view(np.int64), n=np.full(many, len(mine), np.int64),
+                            many=np.full(many, many, np.int64), need=np.full(many, need, np.int64))
+
+    both = members.join(own, "c").join(hubs, "hub").sortWithinPartitions("hub")
+    return both.select("c", "family", "label", "outside", "hub", "text", "hub_text").mapInArrow(
+        run, "c long, family long, label long, outside boolean, gram long, n long, many long, need long")
+
+
+def outsider_pairs(apart: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of a family that may link although one of them, the outsider x, does not link with its hub h.
+
+    |x ^ y| = |x ^ h| + |y ^ h| - 2 |both|, the left side is at most r (n_x + n_y) if x and y link, and
+    |x ^ h| is over r (n_x + n_h) (r: the share of differences that links allow). So x shares more than
+    (|y ^ h| - r (n_y - n_h)) / 2 of y's differences from the hub: ``need``. Of those, rarest first, the first
+    many - need + 2 then hold two shared ones (one, where need is 1). Copies share what is common to
+    them all with the hub too, so it is no difference; what they differ in is rare."""
+    often = apart.groupBy("family", "gram").agg(F.count("*").alias("often"))
+    ranked = apart.join(often, ["family", "gram"]).withColumn("rank", F.row_number().over(
+        Window.partitionBy("c").orderBy("often", "gram")))
+    agree = F.least(F.lit(2), F.col("need"))
+    index = ranked.filter(F.col("rank") <= F.col("many") - F.col("need") + agree).select(
+        "family", "gram", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("label").alias("label_y"),
+        agree.alias("agree"))
+    probe = apart.filter("outside").select(
+        "family", "gram", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("label").alias("label_x"))
+    both = probe.join(index, (probe.family == index.family) & (probe.gram == index.gram)
+                      & (F.col("label_x") != F.col("label_y"))
+                      & like.sizes_fit(F.col("nx"), F.col("ny")))
+    return (both.groupBy("x", "y").agg(F.count("*").alias("same"), F.first("agree").alias("agree"))
+            .filter("same >= agree")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def linked_through(pairs: DataFrame, large: DataFrame, check: Callable[[DataFrame], DataFrame],
-                   about: DataFrame, close: Callable) -> DataFrame:
+                   texts_of: Callable[[DataFrame], DataFrame], like: Likeness) -> DataFrame:
     """node, label for every node with a link, from the candidates that ``check`` finds linked.
 
-    Large groups meet one hub after another, as long as that joins components: a few times as many
-    pairs as members. What is left then is compared in full."""
-    links, tried = check(pairs), pairs
+    Members of large groups that lie in several components are put into families, and each member
+    meets its family's hub. What is in another component than the hub then meets those of the family that
+    differ from the hub alike: every pair of a large group that links is found, without pairing the rest.
+    """
+    links = check(pairs)
     labels = components(links)
-    turn = quiet = 0
-    while True:
-        rest = quiet >= 2
-        left = stored(rest_pairs(large, labels, tried, about, close) if rest
-                      else hub_pairs(large, labels, tried, turn), "left")
-        new = check(left)
-        tried, turn = tried.unionByName(left), turn + 1
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
-            quiet = 0 if not rest else quiet
-        elif rest:
-            return labels
-        else:
-            quiet += 1
+    rows = stored(open_rows(large, labels), "open")
+    if rows.isEmpty():
+        return labels
+    members = stored(families(rows), "families")
+    with_hub = members.filter("c <> hub").select(F.least("c", "hub").alias("a"),
+                                                 F.greatest("c", "hub").alias("b"))
+    links = links.unionByName(check(with_hub))
+    labels = components(links)
+    named = members.join(labels, members.c == labels.node, "left").select(
+        "c", "family", "hub", F.coalesce("label", "c").alias("label"))
+    central = named.filter("c = hub").select("family", F.col("label").alias("central"))
+    named = named.join(central, "family").select(
+        "c", "family", "hub", "label", (F.col("label") != F.col("central")).alias("outside"))
+    divided = named.filter("outside").select("family").distinct()
+    named = stored(named.join(divided, "family", "left_semi"), "members")
+    if named.isEmpty():
+        return labels
+    apart = stored(differences(named, texts_of(named.select("c")), like), "apart")
+    found = check(outsider_pairs(apart, like))
+    return labels if found.isEmpty() else components(links.unionByName(found))
 
 
 def components(links: DataFrame) -> DataFrame:

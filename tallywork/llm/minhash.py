@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.llm.linking import key_pairs, linked_through
-from tallywork.llm.parity_join import Likeness, class_id, classed_texts, verified
+from tallywork.llm.likeness import Likeness
+from tallywork.llm.parity_join import class_id, classed_texts, verified
 from tallywork.llm.tables import (
     id_and_text,
     let_workers_import,
@@ -169,14 +170,16 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80) -> DataFrame:
     one = every.filter("c <> 0").groupBy("c").agg(F.first("keys").alias("keys"))
     pairs, large = key_pairs(one.select(F.explode("keys").alias("k"), "c"))
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        named = wanted.join(classes.filter("doc is not null"), "c").select("c", F.col("doc").alias("doc_id"))
+        return stored(classed_texts(docs, named, like), "texts")
+
     def check(candidates: DataFrame) -> DataFrame:
         candidates = stored(candidates, "near")
         nodes = candidates.select(F.col("a").alias("c")).union(candidates.select("b")).distinct()
-        wanted = (nodes.join(classes.filter("doc is not null"), "c")
-                  .select("c", F.col("doc").alias("doc_id")))
-        return stored(verified(candidates, classed_texts(docs, wanted, like), like), "links")
+        return stored(verified(candidates, texts_of(nodes), like), "links")
 
-    labels = linked_through(pairs, large, check, classes.select("c"), lambda x, y: F.lit(True))
+    labels = linked_through(pairs, large, check, texts_of, like)
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))

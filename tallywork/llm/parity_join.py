@@ -20,62 +20,23 @@ sets stay different documents; further columns are not read. Sets are compared b
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from fractions import Fraction
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.llm.likeness import Likeness
 from tallywork.llm.linking import key_pairs, linked_through
 from tallywork.llm.tables import id_and_text, mapped, record, stored, text_bytes
 from tallywork.llm.words import U, mix, shared, shingles
 
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.6
-#: Bits of the folded sketch that rides along where pairs of large groups are compared.
-FOLD = 1024
 SKETCH_SEED, PART_SEED = U(0x51ED270B9F4A7C15), U(0xD6E8FEB86659FD93)
 
 
-@dataclass(frozen=True)
-class Likeness:
-    """Shingles of ``size`` words; linked from ``per_cent`` per cent of intersection / union."""
-
-    size: int = 5
-    per_cent: int = 80
-    lower: bool = True
-
-    @property
-    def t(self) -> Fraction:
-        return Fraction(self.per_cent, 100)
-
-    def difference(self, n: int) -> int:
-        """Most shingles by which a set of n and a larger linked one may differ."""
-        return int(n * (1 - self.t) / self.t)
-
-    def spare(self, n: int) -> int:
-        return 2 + self.difference(n) // 8
-
-    def parts(self, n: int) -> int:
-        return self.difference(n) + 1 + self.spare(n)
-
-    def linked(self, n_a: int, n_b: int, both: int) -> bool:
-        return 100 * both >= self.per_cent * (n_a + n_b - both)
-
-    def close(self, x: str, y: str) -> Column:
-        """For a join: sizes that fit, and folded sketches no further apart than linked sets'."""
-        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        apart = F.aggregate(F.zip_with(f"{x}.fold", f"{y}.fold", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
-                            F.lit(0), lambda total, bits: total + F.coalesce(bits, F.lit(0)))
-        most = nx + ny - 2 * F.ceil(F.lit(self.per_cent) * (nx + ny) / F.lit(100.0 + self.per_cent) - 1e-6)
-        return self.sizes_fit(nx, ny) & (apart <= most)
-
-    def sizes_fit(self, a: Column, b: Column) -> Column:
-        return 100 * F.least(a, b) >= self.per_cent * F.greatest(a, b)
-
-
 def band_of(n: int) -> int:
     band = 0
     while band_start(band + 1) <= n:
@@ -129,13 +90,6 @@ def sketch(grams: np.ndarray) -> bytes:
     return np.packbits(flips, bitorder="little").tobytes()
 
 
-def folded(grams: np.ndarray) -> list[int]:
-    """The sketch of FOLD bits, as signed 64-bit words: a longer sketch folded, a shorter one spread."""
-    bit = (mix(grams ^ SKETCH_SEED) & U(FOLD - 1)).astype(np.int64)
-    flips = (np.bincount(bit, minlength=FOLD) & 1).astype(np.uint8)
-    return np.packbits(flips, bitorder="little").view(np.int64).tolist()
-
-
 def hamming(a: bytes, b: bytes) -> int:
     """Of two sketches; the longer is folded (XOR of halves), which keeps the lower bound."""
     x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
@@ -155,20 +109,24 @@ def class_id(grams: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, n_shingles, c (the class of equal sets), sketch of every document."""
+    """doc_id, t (names the text), n_shingles, c (the class of equal sets), sketch of every document."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             grams = shingles(*text_bytes(batch.column("text")), like.size, like.lower)
-            return record(doc_id=batch.column("doc_id"),
+            return record(doc_id=batch.column("doc_id"), t=batch.column("t"),
                           n_shingles=pa.array([len(g) for g in grams], pa.int64()),
                           c=pa.array(map(class_id, grams), pa.int64()),
-                          sketch=pa.array(map(sketch, grams), pa.binary()),
-                          fold=pa.array(map(folded, grams), pa.list_(pa.int64())))
+                          sketch=pa.array(map(sketch, grams), pa.binary()))
         return work
 
-    return mapped(id_and_text(docs), make,
-                  "doc_id long, n_shingles long, c long, sketch binary, fold array<long>")
+    return mapped(id_and_text(docs).withColumn("t", text_name("text")), make,
+                  "doc_id long, t binary, n_shingles long, c long, sketch binary")
+
+
+def text_name(text: str) -> Column:
+    """A text's 128-bit digest; null is empty text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def keys(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -265,30 +223,43 @@ def classed_texts(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFra
     return mapped(found.select("c", "text"), make, "c long, text string").dropDuplicates(["c"])
 
 
-def classes_of(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """Every document with its class, and its class's label after linking.
-
-    (doc_id, n_shingles, c) and (c, label, doc): ``label`` names the component, ``doc`` is the
-    smallest doc_id of the class."""
-    every = stored(sets(docs, like), "sets")
-    classes = stored(every.filter("c <> 0").groupBy("c").agg(
+def classes_from(every: DataFrame) -> DataFrame:
+    """c, doc (the smallest doc_id), n, sketch of each class of equal sets but the empty one."""
+    return stored(every.filter("c <> 0").groupBy("c").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"),
-        F.first("sketch").alias("sketch"), F.first("fold").alias("fold")), "classes")
-    pairs, large = key_pairs(keys(docs, like))
+        F.first("sketch").alias("sketch")), "classes")
+
+
+def checker(docs: DataFrame, classes: DataFrame, like: Likeness) -> tuple[
+        Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """A function from pairs of classes to the linked ones, and one from classes (c) to their texts."""
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        named = wanted.join(classes.filter("doc is not null"), "c").select("c", F.col("doc").alias("doc_id"))
+        return stored(classed_texts(docs, named, like), "texts")
 
     def check(candidates: DataFrame) -> DataFrame:
         candidates = stored(near(candidates, classes, like), "near")
         if candidates.isEmpty():
             return candidates
         nodes = candidates.select(F.col("a").alias("c")).union(candidates.select("b")).distinct()
-        wanted = nodes.join(classes.filter("doc is not null"), "c").select("c", F.col("doc").alias("doc_id"))
-        return stored(verified(candidates, stored(classed_texts(docs, wanted, like), "texts"), like),
-                      "links")
+        return stored(verified(candidates, texts_of(nodes), like), "links")
+
+    return check, texts_of
 
-    labels = linked_through(pairs, large, check, classes.select("c", "n", "fold"), like.close)
+
+def classes_of(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """Every document with its class, and its class's label after linking.
+
+    (doc_id, n_shingles, c) and (c, label, doc): ``label`` names the component, ``doc`` is the
+    smallest doc_id of the class."""
+    every = stored(sets(docs, like), "sets")
+    classes = classes_from(every)
+    check, texts_of = checker(docs, classes, like)
+    labels = linked_through(*key_pairs(keys(docs, like)), check, texts_of, like)
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
-    return every.drop("sketch", "fold"), named
+    return every.drop("sketch"), named
 
 
 def joined(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -302,9 +273,17 @@ def joined(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns. Documents
-    without words stay, and rows without an id."""
-    lost = joined(docs, like).filter("doc_id <> component_id").select("doc_id").distinct()
-    first = docs.join(lost, "doc_id", "left_anti")
-    # rows repeated whole are copies too
-    return first.dropDuplicates()
+    """The document with the smallest id of each component, with all its columns. Documents without words
+    stay, and rows without an id. Rows that share a doc_id are told apart by their texts; of those with one
+    text, too, one stays."""
+    every, named = classes_of(docs, like)
+    rows = (every.filter("doc_id is not null").join(named.select("c", "label"), "c")
+            .select("label", F.struct("doc_id", "c", "t").alias("row")))
+    lost = (rows.join(rows.groupBy("label").agg(F.min("row").alias("first")), "label")
+            .filter("row <> first").select("row.doc_id", "row.t").distinct())
+    lead = "_" * max(map(len, docs.columns))  # longer than any name of theirs
+    key, name = f"{lead}id", f"{lead}t"
+    marked = docs.withColumns({key: F.col("doc_id").cast("long"), name: text_name("text")})
+    kept = marked.join(lost.toDF(key, name), [key, name], "left_anti")
+    return (kept.filter(F.col(key).isNotNull()).dropDuplicates([key, name])
+            .unionByName(kept.filter(F.col(key).isNull()).dropDuplicates()).select(*docs.columns))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tallywork.llm import (
     alignment,
     bpe,
+    chosen_path,
     chunking,
+    likeness,
     minhash,
     packing,
     parity_join,
@@ -34,7 +36,7 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join.joined(read(spark, folder, "documents"),
-                              parity_join.Likeness(size=3, per_cent=90))
+                              likeness.Likeness(size=3, per_cent=90))
 
 
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +76,10 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
         public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.joined(read(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     found = whitening.whitened(read(spark, folder, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").cast("long"))
@@ -82,5 +88,5 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_pii, op3_ngram_jaccard, op4_minhash, op5_quality, op6_urls, op7_suffix_dedup,
     op8_chunk_dedup, op9_toxicity, op10_packing, op11_alignment,
-    op13_whitening)}
+    op12_near_dedup, op13_whitening)}
 SQL: dict[str, str] = {}
