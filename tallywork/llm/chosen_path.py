@@ -7,7 +7,7 @@ Jaccard likeness, so a linked pair nearly always shares some node, an unlike one
 levels are walked at once. Small nodes are compared exhaustively; larger ones whose members do not
 lie in one component yet are branched further, at most to depth DEEPEST, each node with functions of
 its own. What is still large then is a dense group of copies: its members meet their hub, and those
-that it does not link are joined exactly on their differences from it (``linking.linked_through``).
+that it does not link are joined exactly on their differences from it (``linking.through_hubs``).
 
 Recall: with two branches a pair at the threshold of 0.8 is lost by one tree with probability 0.059 after
 three levels, by five independent trees with 7e-7; more alike pairs less. Candidates are confirmed on their
@@ -30,14 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.llm.likeness import Likeness
-from tallywork.llm.linking import components, key_pairs, linked_through, open_rows
+from tallywork.llm.linking import (
+    components,
+    joined_labels,
+    key_pairs,
+    open_rows,
+    separate,
+    through_hubs,
+)
 from tallywork.llm.parity_join import checker, class_id, classes_from, sets
 from tallywork.llm.tables import cut, id_and_text, let_workers_import, mapped, record, stored, text_bytes
 from tallywork.llm.words import U, mix, shingles
 
 TREES, BRANCHES, START, DEEPEST = 5, 2, 3, 7
 #: Tokens that one further branching takes at once.
-STRIDE = 2
+STRIDE = 4
 _rng = np.random.default_rng(12)
 
 
@@ -130,16 +137,15 @@ def joined(docs: DataFrame, like: Likeness = Likeness(2, 80)) -> DataFrame:
     classes = classes_from(every)
     check, texts_of = checker(docs, classes, like)
     pairs, large = key_pairs(planted(docs, like))
-    depth = START
-    while depth < DEEPEST:
-        links = check(pairs)
-        rows = stored(open_rows(large, components(links)), "open")
+    labels = components(check(pairs))
+    for _ in range(START, DEEPEST, STRIDE):
+        rows = stored(open_rows(large, labels), "open")
         if rows.isEmpty():
             break
         more, large = key_pairs(branched(rows, texts_of(rows.select("c").distinct()), like))
-        # what is linked already need not be checked again
-        pairs, depth = links.unionByName(more.join(links, ["a", "b"], "left_anti")), depth + STRIDE
-    labels = linked_through(pairs, large, check, texts_of, like)
+        # what is in one component need not be compared again
+        labels = joined_labels(labels, check(separate(more, labels)))
+    labels = through_hubs(large, labels, check, texts_of, like)
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))

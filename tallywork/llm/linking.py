@@ -83,6 +83,14 @@ def open_rows(large: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(keys, "k", "left_semi").select("k", "c")
 
 
+def separate(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that labels do not put into one component yet."""
+    x = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    y = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    return (pairs.join(x, "a", "left").join(y, "b", "left")
+            .filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
+
+
 def families(rows: DataFrame) -> DataFrame:
     """c, family, hub: members of the groups (k, c), together with all that groups connect them to; the
     hub is the member of most groups (which is what copies of one text have in common)."""
@@ -133,46 +141,49 @@ def differences(members: DataFrame, texts: DataFrame, like: Likeness) -> DataFra
 def outsider_pairs(apart: DataFrame, like: Likeness) -> DataFrame:
     """Pairs of a family that may link although one of them, the outsider x, does not link with its hub h.
 
-    |x ^ y| = |x ^ h| + |y ^ h| - 2 |both|, the left side is at most r (n_x + n_y) if x and y link, and
-    |x ^ h| is over r (n_x + n_h) (r: the share of differences that links allow). So x shares more than
-    (|y ^ h| - r (n_y - n_h)) / 2 of y's differences from the hub: ``need``. Of those, rarest first, the first
-    many - need + 2 then hold two shared ones (one, where need is 1). Copies share what is common to
-    them all with the hub too, so it is no difference; what they differ in is rare."""
+    |x ^ y| = |x ^ h| + |y ^ h| - 2 |both|, and x and y link if the left side is at most r (n_x + n_y) (r: the
+    share of differences that links allow), so that many of their differences from the hub must be the
+    same. Both sides rank theirs rarest first; the first that a pair has in common then leaves enough behind it
+    on either side, a condition inside the join. As |x ^ h| is over r (n_x + n_h), y's first many - need + 1
+    do. Copies share with the hub what is common to them all, so it is no difference; what they differ
+    in is rare."""
     often = apart.groupBy("family", "gram").agg(F.count("*").alias("often"))
     ranked = apart.join(often, ["family", "gram"]).withColumn("rank", F.row_number().over(
         Window.partitionBy("c").orderBy("often", "gram")))
-    agree = F.least(F.lit(2), F.col("need"))
-    index = ranked.filter(F.col("rank") <= F.col("many") - F.col("need") + agree).select(
-        "family", "gram", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("label").alias("label_y"),
-        agree.alias("agree"))
-    probe = apart.filter("outside").select(
-        "family", "gram", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("label").alias("label_x"))
+    index = ranked.filter("rank <= many - need + 1").select(
+        "family", "gram", *(F.col(x).alias(f"{x}_y") for x in ("c", "n", "label", "many", "rank")))
+    probe = ranked.filter("outside").select(
+        "family", "gram", *(F.col(x).alias(f"{x}_x") for x in ("c", "n", "label", "many", "rank")))
+    behind = F.least(F.expr("many_x - rank_x"), F.expr("many_y - rank_y")) + 1
+    alike = (2 * (100 + like.per_cent) * behind >= (100 + like.per_cent) * F.expr("many_x + many_y")
+             - (100 - like.per_cent) * F.expr("n_x + n_y"))
     both = probe.join(index, (probe.family == index.family) & (probe.gram == index.gram)
-                      & (F.col("label_x") != F.col("label_y"))
-                      & like.sizes_fit(F.col("nx"), F.col("ny")))
-    return (both.groupBy("x", "y").agg(F.count("*").alias("same"), F.first("agree").alias("agree"))
-            .filter("same >= agree")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+                      & (F.col("label_x") != F.col("label_y")) & alike
+                      & like.sizes_fit(F.col("n_x"), F.col("n_y")))
+    return both.select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct()
 
 
 def linked_through(pairs: DataFrame, large: DataFrame, check: Callable[[DataFrame], DataFrame],
                    texts_of: Callable[[DataFrame], DataFrame], like: Likeness) -> DataFrame:
-    """node, label for every node with a link, from the candidates that ``check`` finds linked.
+    """node, label for every node with a link, from the candidates that ``check`` finds linked."""
+    return through_hubs(large, components(check(pairs)), check, texts_of, like)
+
+
+def through_hubs(large: DataFrame, labels: DataFrame, check: Callable[[DataFrame], DataFrame],
+                 texts_of: Callable[[DataFrame], DataFrame], like: Likeness) -> DataFrame:
+    """The labels after all links within large groups (k, c).
 
     Members of large groups that lie in several components are put into families, and each member
     meets its family's hub. What is in another component than the hub then meets those of the family that
     differ from the hub alike: every pair of a large group that links is found, without pairing the rest.
     """
-    links = check(pairs)
-    labels = components(links)
     rows = stored(open_rows(large, labels), "open")
     if rows.isEmpty():
         return labels
     members = stored(families(rows), "families")
     with_hub = members.filter("c <> hub").select(F.least("c", "hub").alias("a"),
                                                  F.greatest("c", "hub").alias("b"))
-    links = links.unionByName(check(with_hub))
-    labels = components(links)
+    labels = joined_labels(labels, check(with_hub))
     named = members.join(labels, members.c == labels.node, "left").select(
         "c", "family", "hub", F.coalesce("label", "c").alias("label"))
     central = named.filter("c = hub").select("family", F.col("label").alias("central"))
@@ -184,41 +195,60 @@ def linked_through(pairs: DataFrame, large: DataFrame, check: Callable[[DataFram
         return labels
     apart = stored(differences(named, texts_of(named.select("c")), like), "apart")
     found = check(outsider_pairs(apart, like))
-    return labels if found.isEmpty() else components(links.unionByName(found))
+    return joined_labels(labels, found)
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links."""
+    if links.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return components(known.unionByName(links))
+
+
+def local_forest(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """node, root (the smallest node of its tree) of the edges (a, b) that a task reads, at most ``most``
+    nodes at a time."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while above[top] != top:
+            top = above[top]
+        while above[x] != top:
+            above[x], x = top, above[x]
+        return top
+
+    def trees() -> pa.RecordBatch:
+        return record(node=pa.array(list(above), pa.int64()), root=pa.array(map(root, above), pa.int64()))
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            x, y = root(a), root(b)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+        if len(above) >= most:
+            yield trees()
+            above.clear()
+    if above:
+        yield trees()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links (a, b) reach, for every node with a link.
 
-    Alternating large and small stars: each round every node hands its larger, then its smaller
-    neighbours to the smallest one it knows, until nothing changes; the rounds grow with the
-    logarithm of the largest component. Neighbours are never gathered into a list, only their
-    minimum is, and each round is written to the shared folder.
-    """
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        """edges (u, v) with u > v."""
-        if large:
-            seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:
-            seen = edges
-        least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = seen.join(least, "u")
-        if large:
-            out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = (joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                   .unionByName(least.select("u", F.col("m").alias("v"))))
-        return out.filter("u <> v").distinct()
-
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                   .filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        edges = stored(star(star(edges, True), False), "edges")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    Each task makes trees of the links that it reads; a node with several roots links them, and the same
+    is done with those links between roots, until no node has two. Links are read where they lie, so
+    nothing of a large component meets in one task."""
+    let_workers_import(links.sparkSession)
+    forest = stored(links.select("a", "b").mapInArrow(local_forest, "node long, root long"), "forest")
+    least = forest.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    between = stored(forest.join(least.filter("low <> high"), "node").filter("root <> low")
+                     .select(F.col("root").alias("a"), F.col("low").alias("b")).distinct(), "roots")
+    if between.isEmpty():
+        return least.select("node", F.col("low").alias("label"))
+    above = components(between).select(F.col("node").alias("low"), "label")
+    return stored(least.join(above, "low", "left").select(
+        "node", F.coalesce("label", "low").alias("label")), "labels")
