@@ -21,10 +21,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, which cuts its lineage: a lost
-    executor costs a read, and no branch computes the rows anew."""
-    place = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    executor costs a read, and no branch computes the rows anew. Where there are many more partitions than
+    cores, a task writes several, one after the other."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    df.coalesce(4 * max(spark.sparkContext.defaultParallelism, 4)).write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
