@@ -20,6 +20,10 @@ RUNTIME = {
 }
 
 
+#: Folders of local sessions by application (the setting itself cannot be changed at run time).
+_local_dirs: dict[str, str] = {}
+
+
 def build_session(app: str = "tallywork", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -39,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session (tests)
-    without that setting gets a folder of its own.
+    without that setting gets a folder of its own, one for each application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -47,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="tallywork-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="tallywork-")
+    return _local_dirs[app]
