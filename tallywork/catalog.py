@@ -16,7 +16,6 @@ from tallywork import schema
 from tallywork.functions import billing, dates, forms, report_fields
 from tallywork.operators import breaks
 from tallywork.operators.joins import join_every, left_first_wins, lower_names, only_keys, without_keys
-from tallywork.operators.numbering import Chunk, Level, month_of, prefix_of
 from tallywork.plans import claims, form_import, lookups, quality, reports, upkeep, views
 from tallywork.practice import Practice
 from tallywork.session import shared_dir, tune
@@ -353,8 +352,7 @@ _add(
         "client_id", "visit_id", "page", "slot"),
     w05_parity=lambda c: breaks.with_parity(
         reports.report(c.db, "billing_insurance", AS_OF), reports.BREAKS["billing_insurance"],
-        Chunk([prefix_of("client_name"), "client_name", "client_id", month_of("session_date")],
-              [False, False, False, True], [1, 4])).select("id", "parity"),
+        ).select("id", "parity"),
     w06_newest_batch=lambda c: pages.newest_batch(
         c.results.select(F.col("batch").alias("batch_no"))).withColumn("kind", F.lit("newest"))
         .unionByName(pages.newer_batches(

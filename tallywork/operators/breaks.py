@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.operators.numbering import Chunk, Level, busy_keys, numbered, runs
+from tallywork.operators.numbering import Level, numbered, runs
 
 
 @dataclass(frozen=True)
@@ -16,7 +16,6 @@ class BreakSpec:
     levels: Sequence[Level]
     part: Sequence[str]
     order: Sequence[tuple[str, str]]  # column, asc | desc; total
-    chunk: Chunk
     sums: Sequence[str] = ()
 
     def order_columns(self) -> list[Column]:
@@ -33,14 +32,12 @@ def ordering(order: Sequence[tuple[str, str]]) -> list[Column]:
     return [F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in order]
 
 
-def with_breaks(df: DataFrame, spec: BreakSpec, busy: DataFrame | None = None) -> DataFrame:
-    """``busy``: see numbering.runs; by default the parts that are, counted in ``df``."""
-    large = busy_keys(df, spec.part) if busy is None else busy
-    return runs(df, spec.levels, spec.order_in_part(), spec.part, spec.chunk, large)
+def with_breaks(df: DataFrame, spec: BreakSpec, ranges: int | None = None) -> DataFrame:
+    return runs(df, spec.levels, spec.order_in_part(), spec.part, ranges)
 
 
 def subtotals(df: DataFrame, spec: BreakSpec, level: str, scope: str = "level",
-              busy: DataFrame | None = None) -> DataFrame:
+              ranges: int | None = None) -> DataFrame:
     """Footer sums, one row per run.
 
     ``scope='level'``: a sum is reset only when ``level`` starts anew. ``scope='any'``:
@@ -54,13 +51,12 @@ def subtotals(df: DataFrame, spec: BreakSpec, level: str, scope: str = "level",
     by = list(dict.fromkeys([*spec.part, f"run_{spec.levels[deepest].name}"]))
     keep = [k for k in dict.fromkeys(shown) if k not in by]
     # the level's keys are constant within its run
-    return (with_breaks(df, spec, busy).groupBy(*by, *keep)
+    return (with_breaks(df, spec, ranges).groupBy(*by, *keep)
             .agg(F.count(F.lit(1)).alias("n_rows"),
                  *[F.sum(c).alias(f"{c}_sum") for c in spec.sums]))
 
 
-def with_parity(df: DataFrame, spec: BreakSpec, leading: Chunk) -> DataFrame:
-    """Alternate shading, 0 and 1 down the whole report. ``leading`` cuts the report by
-    the beginning of its order; only one row per cut is counted in one place."""
-    return (numbered(df, [], spec.order_columns(), leading, "_no")
+def with_parity(df: DataFrame, spec: BreakSpec, ranges: int | None = None) -> DataFrame:
+    """Alternate shading, 0 and 1 down the whole report."""
+    return (numbered(df, [], spec.order_columns(), "_no", ranges)
             .withColumn("parity", ((F.col("_no") - 1) % 2).cast("int")).drop("_no"))

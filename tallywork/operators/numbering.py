@@ -1,129 +1,136 @@
-"""Row numbers and control-break runs over a sorted report, without handing an unbounded
-group to one task.
-
-Groups of ordinary size get a plain window. A *busy* group, of more rows than one task
-should sort, is cut into *chunks*: ranges of the sort order inside the group (a month of
-a client's visits, say). A window runs inside each chunk; one summary row per chunk is
-then put in order within its group, which carries counts and boundary rows over from
-chunk to chunk. A client with a third of all visits is spread over as many tasks as it
-has chunks, and only its summary rows meet in one. Where even those may be many (the
-clients of a group), chunks are put into coarser chunks first, and so on up.
-
-Which groups are busy is told by a frame of their keys. Whether there are any is looked up
-once, when the query is built (a count of narrow rows); mostly there are none, and the
-plan is the plain window alone. Otherwise the keys, at most (rows / limit) of them, are
-broadcast, and busy rows leave the plain path before any shuffle.
+"""Row numbers and control-break runs over a sorted report: one plan at every size.
+
+The rows are dealt into ranges of the whole sort order (Spark samples it), sorted and written once, so every
+later step sees the same ranges and nothing before them runs again. A range is about as large as any other,
+however many rows a client, a group or a surname has: the order is total, so a range may begin anywhere.
+
+Then a prefix scan: each range counts what starts inside it, and gives one summary row (its first and
+last keys, its counts); the summaries, as many as there are ranges, are put in order among themselves and
+hand each range what came before it and the keys on either side. A run or a number that begins anew
+with its part (a client, say) takes off what had been counted when the part began, which is the largest
+such count so far.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywork.session import shared_dir
 
-@dataclass(frozen=True)
-class Chunk:
-    """Values (SQL expressions) that never go back along the sort order within a group.
-
-    ``steps``: how many of them make a chunk, from the coarsest chunks to the finest; by
-    default all make one.
-    """
-
-    values: Sequence[str]
-    descending: Sequence[bool] = ()
-    steps: Sequence[int] = ()
-
-    def names(self) -> list[str]:
-        return [f"_chunk{i}" for i in range(len(self.values))]
-
-    def columns(self) -> dict[str, Column]:
-        return {n: F.expr(v) for n, v in zip(self.names(), self.values)}
-
-    def cuts(self) -> list[list[str]]:
-        return [self.names()[:n] for n in (self.steps or [len(self.values)])]
-
-    def order(self) -> list[Column]:
-        down = list(self.descending) or [False] * len(self.values)
-        return [F.col(n).desc() if d else F.col(n).asc() for n, d in zip(self.names(), down)]
-
-
-def month_of(date: str) -> str:
-    return f"trunc({date}, 'month')"
-
-
-def prefix_of(text: str, length: int = 8) -> str:
-    return f"substring({text}, 1, {length})"
-
-
-BUSY_ROWS = 1_000_000
-
-
-def busy_keys(df: DataFrame, keys: Sequence[str], limit: int = BUSY_ROWS) -> DataFrame:
-    """Groups of more than ``limit`` rows: counted with map-side sums."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > limit).select(*keys))
+#: A row's place is its range and its number inside it, in so many bits; ranges share a block of summaries.
+PLACE_BITS, BLOCK_BITS = 33, 20
 
 
-def _split(df: DataFrame, keys: Sequence[str], busy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of busy groups)."""
-    marked = F.broadcast(busy.select(*[F.col(k).alias(f"_b_{k}") for k in keys]))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
-    return df.join(marked, same, "left_anti"), df.join(marked, same, "left_semi")
+def laid_out(df: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
+    """The rows, sorted over ``ranges`` ranges of a total order (as many as Spark shuffles into, if
+    not given), written to the shared folder; with ``_place``."""
+    spark = df.sparkSession
+    many = min(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << BLOCK_BITS)
+    rows = (df.repartitionByRange(many, *order).sortWithinPartitions(*order)
+            .withColumn("_place", F.monotonically_increasing_id()))
+    path = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
-def _carry(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join chunk-level columns back to the rows; null is a key value like any other."""
-    renamed = summary.withColumnsRenamed({k: f"_s_{k}" for k in keys})
-    on = [rows[k].eqNullSafe(renamed[f"_s_{k}"]) for k in keys]
-    return rows.join(renamed, on).drop(*[f"_s_{k}" for k in keys])
+class _Scan:
+    """A prefix scan over laid-out rows. ``part``: columns with which every count begins anew.
+    ``keys``: for each count the columns whose change is counted; None counts every row."""
 
+    def __init__(self, part: Sequence[str], keys: Sequence[Sequence[str] | None]):
+        wide = [*part]
+        self.part = range(len(part))
+        self.own: list[list[int] | None] = []
+        for own in keys:
+            self.own.append(None if own is None else [*self.part, *range(len(wide), len(wide) + len(own))])
+            wide += own or []
+        self.count = range(len(keys))
+        self.packed = F.struct(F.lit(0).alias("k"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(wide)])
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], chunk: Chunk,
-             out: str = "row_no", busy: DataFrame | None = None) -> DataFrame:
-    """``row_number()`` within ``group``: the same rows and a bigint column more.
+    def differ(self, which: Sequence[int], a: Column, b: Column) -> Column:
+        same = F.lit(True)
+        for j in which:
+            same = same & a[f"k{j}"].eqNullSafe(b[f"k{j}"])
+        return ~same
 
-    ``order`` must be total and begin with what the chunk is made of. Without ``busy``
-    every group is treated as a busy one.
-    """
-    if busy is None:
-        return _numbered_in_chunks(df, group, order, chunk, out)
-    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
-    if busy.isEmpty():
-        return df.withColumn(out, number)
-    ordinary, large = _split(df, group, busy)
-    return ordinary.withColumn(out, number).unionByName(
-        _numbered_in_chunks(large, group, order, chunk, out))
-
-
-def _numbered_in_chunks(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                        chunk: Chunk, out: str) -> DataFrame:
-    rows = df.withColumns(chunk.columns()).withColumn("_n", F.lit(1))
-    return (_count_before(rows, group, chunk.cuts(), order, chunk.order())
-            .withColumn(out, (F.col("_before") + 1).cast("bigint"))
-            .drop("_before", "_n", *chunk.names()))
-
-
-def _count_before(items: DataFrame, group: Sequence[str], cuts: list[list[str]],
-                  order: Sequence[Column], chunk_order: Sequence[Column]) -> DataFrame:
-    """``_before``: the sum of ``_n`` over the items earlier in the group."""
-    def earlier(keys: Sequence[str]) -> Column:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(w), F.lit(0))
-
-    if not cuts:
-        return items.withColumn("_before", earlier(group))
-    keys = [*group, *cuts[-1]]
-    chunks = _count_before(items.groupBy(*keys).agg(F.sum("_n").alias("_n")), group, cuts[:-1],
-                           chunk_order[:len(cuts[-1])], chunk_order)
-    joined = _carry(items.withColumn("_inside", earlier(keys)),
-                    chunks.select(*keys, F.col("_before").alias("_outside")), keys)
-    return joined.withColumn("_before", F.col("_inside") + F.col("_outside")).drop(
-        "_inside", "_outside")
+    def starts(self, i: int, a: Column, b: Column) -> Column:
+        return F.lit(True) if self.own[i] is None else self.differ(self.own[i], a, b)
+
+    def each(self, make) -> dict[str, Column]:
+        return {k: v for i in self.count for k, v in make(i).items()}
+
+    def local(self, rows: DataFrame) -> DataFrame:
+        """Counts inside each range; what its first row starts is not known there."""
+        w = Window.partitionBy("_range").orderBy("_place")
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        cur, back = F.col("_cur"), F.col("_back")
+        return (rows.withColumn("_range", F.shiftright("_place", PLACE_BITS).cast("int"))
+                .withColumn("_cur", self.packed)
+                .withColumns({"_back": F.lag("_cur").over(w), "_ahead": F.lead("_cur").over(w)})
+                .withColumns({"_new": back.isNotNull() & self.differ(self.part, cur, back), **self.each(
+                    lambda i: {f"_e{i}": F.when(back.isNull(), 0).otherwise(
+                        self.starts(i, cur, back).cast("int"))})})
+                .withColumns(self.each(lambda i: {f"_s{i}": F.sum(f"_e{i}").over(so_far)}))
+                .withColumns(self.each(lambda i: {f"_b{i}": F.max(F.when(
+                    F.col("_new"), F.col(f"_s{i}") - F.col(f"_e{i}"))).over(so_far)})))
+
+    def carried(self, local: DataFrame) -> DataFrame:
+        """One row a range: what its first row starts (``_first_e``), the counts before it (``_off``), the
+        count when the part that goes on into it began (``_base``), the keys after it."""
+        summary = local.groupBy("_range").agg(
+            F.max(F.when(F.col("_back").isNull(), F.col("_cur"))).alias("_first"),
+            F.max(F.when(F.col("_ahead").isNull(), F.col("_cur"))).alias("_last"),
+            *[F.max(f"_s{i}").alias(f"_n{i}") for i in self.count],
+            *[F.max(f"_b{i}").alias(f"_m{i}") for i in self.count])
+        w = Window.partitionBy("_block").orderBy("_range")
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        first, prior = F.col("_first"), F.col("_prior")
+
+        def begun(i: int) -> Column:
+            """The count when the last part of the range began; null if none does."""
+            return F.greatest(F.when(F.col("_fresh"), F.col(f"_off{i}")),
+                              F.col(f"_off{i}") + F.col(f"_first_e{i}") + F.col(f"_m{i}"))
+
+        return (summary.withColumn("_block", F.shiftright("_range", BLOCK_BITS))
+                .withColumns({"_prior": F.lag("_last").over(w), "_after": F.lead("_first").over(w)})
+                .withColumns({"_fresh": prior.isNull() | self.differ(self.part, first, prior), **self.each(
+                    lambda i: {f"_first_e{i}": F.when(prior.isNull(), 1).otherwise(
+                        self.starts(i, first, prior).cast("int"))})})
+                .withColumns(self.each(lambda i: {f"_off{i}": F.coalesce(F.sum(
+                    F.col(f"_n{i}") + F.col(f"_first_e{i}")).over(before), F.lit(0))}))
+                .withColumns(self.each(lambda i: {f"_base{i}": F.max(begun(i)).over(before)}))
+                .select("_range", "_after", "_fresh",
+                        *[f"{x}{i}" for x in ("_first_e", "_off", "_base") for i in self.count]))
+
+    def over(self, rows: DataFrame) -> DataFrame:
+        """Adds for each count ``_count`` (from 1 within the part) and ``_start`` (counted at this row), and
+        ``_next``, the keys after the row (null at the end)."""
+        local = self.local(rows)
+        joined = local.join(self.carried(local), "_range")
+
+        def counts(i: int) -> dict[str, Column]:
+            so_far = F.col(f"_off{i}") + F.col(f"_first_e{i}")
+            began = F.coalesce(so_far + F.col(f"_b{i}"), F.when(F.col("_fresh"), F.col(f"_off{i}")),
+                               F.col(f"_base{i}"))
+            return {f"_count{i}": (so_far + F.col(f"_s{i}") - began).cast("bigint"),
+                    f"_start{i}": F.when(F.col("_back").isNull(), F.col(f"_first_e{i}"))
+                    .otherwise(F.col(f"_e{i}")) == 1}
+
+        return joined.withColumns({"_next": F.coalesce("_ahead", "_after"), **self.each(counts)})
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "row_no",
+             ranges: int | None = None) -> DataFrame:
+    """``row_number()`` within ``group``: the same rows and a bigint column more. ``order`` must be total
+    within a group."""
+    rows = laid_out(df, [*map(F.col, group), *order], ranges)
+    scan = _Scan(group, [None])
+    return scan.over(rows).select(*df.columns, F.col("_count0").alias(out))
 
 
 @dataclass(frozen=True)
@@ -134,122 +141,27 @@ class Level:
     keys: Sequence[str]
 
 
-class _Keys:
-    """The levels' keys packed into one struct, a level's key with those outside it."""
-
-    def __init__(self, levels: Sequence[Level]):
-        wide: list[str] = []
-        self.sizes = []
-        for level in levels:
-            wide += level.keys
-            self.sizes.append(len(wide))
-        self.packed = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(wide)])
-
-    def differ(self, level: int, a: Column, b: Column) -> Column:
-        same = F.lit(True)
-        for j in range(self.sizes[level]):
-            same = same & a[f"k{j}"].eqNullSafe(b[f"k{j}"])
-        return ~same
-
-
-def _start_level(started: Sequence[Column]) -> Column:
-    return F.coalesce(*[F.when(s, F.lit(i)) for i, s in enumerate(started)]).cast("int")
-
-
 def runs(df: DataFrame, levels: Sequence[Level], order: Sequence[Column],
-         part: Sequence[str], chunk: Chunk, busy: DataFrame | None = None) -> DataFrame:
+         part: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Control breaks over the report order.
 
     ``levels`` go from the outermost in. A level's run starts when its own key or that of
     a level outside it differs from the row before. ``part`` names leading sort columns
-    whose change always changes the outermost key, so no run crosses them. Without
-    ``busy`` every part is treated as a busy one.
+    whose change always changes the outermost key, so no run crosses them.
 
     Adds ``run_<level>`` (numbered from 1 within ``part``), ``start_level`` (index of the
     outermost level that starts at this row, else null) and ``is_end`` (the next row
     starts a run, or there is none).
     """
-    if busy is None:
-        return _runs_in_chunks(df, levels, order, part, chunk)
-    if busy.isEmpty():
-        return _runs_in_parts(df, levels, order, part)
-    ordinary, large = _split(df, part, busy)
-    return _runs_in_parts(ordinary, levels, order, part).unionByName(
-        _runs_in_chunks(large, levels, order, part, chunk))
-
-
-def _runs_in_parts(df: DataFrame, levels: Sequence[Level], order: Sequence[Column],
-                   part: Sequence[str]) -> DataFrame:
-    keys, count = _Keys(levels), range(len(levels))
-    w = Window.partitionBy(*part).orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    prev, ahead = F.col("_prev"), F.col("_next")
-    rows = (df.withColumn("_cur", keys.packed)
-              .withColumns({"_prev": F.lag("_cur").over(w), "_next": F.lead("_cur").over(w)})
-              .withColumns({f"_chg{i}": (prev.isNull() | keys.differ(i, F.col("_cur"), prev))
-                            .cast("int") for i in count}))
-    last = len(levels) - 1
+    keys: list[list[str]] = []
+    for level in levels:
+        keys.append([*(keys[-1] if keys else []), *level.keys])
+    scan = _Scan(part, keys)
+    rows = scan.over(laid_out(df, [*map(F.col, part), *order], ranges))
+    ahead, last = F.col("_next"), len(levels) - 1
     return rows.select(
         *df.columns,
-        *[F.sum(f"_chg{i}").over(so_far).cast("bigint").alias(f"run_{x.name}")
-          for i, x in enumerate(levels)],
-        _start_level([F.col(f"_chg{i}") == 1 for i in count]).alias("start_level"),
-        (ahead.isNull() | keys.differ(last, F.col("_cur"), ahead)).alias("is_end"))
-
-
-def _runs_in_chunks(df: DataFrame, levels: Sequence[Level], order: Sequence[Column],
-                    part: Sequence[str], chunk: Chunk) -> DataFrame:
-    keys, count = _Keys(levels), range(len(levels))
-    rows = (df.withColumns(chunk.columns())
-              .withColumns({"_first": keys.packed, "_last": keys.packed,
-                            **{f"_n{i}": F.lit(0) for i in count}}))
-    scanned = _scan(rows, keys, part, chunk.cuts(), order, chunk.order())
-    ahead = F.col("_ahead")
-    return scanned.select(
-        *df.columns,
-        *[(F.col(f"_off{i}") + F.col(f"_edge{i}")).cast("bigint").alias(f"run_{x.name}")
-          for i, x in enumerate(levels)],
-        _start_level([F.col(f"_edge{i}") == 1 for i in count]).alias("start_level"),
-        (ahead.isNull() | keys.differ(len(levels) - 1, F.col("_last"), ahead)).alias("is_end"))
-
-
-def _scan(items: DataFrame, keys: _Keys, part: Sequence[str], cuts: list[list[str]],
-          order: Sequence[Column], chunk_order: Sequence[Column]) -> DataFrame:
-    """Put items (rows, or chunks of rows) in order within their part.
-
-    An item has the keys of its ``_first`` and ``_last`` row and the number of runs
-    ``_n<level>`` that start inside it. Added: ``_edge<level>`` (1 when a run starts with
-    the item), ``_off<level>`` (runs started before it) and ``_ahead`` (the keys after it,
-    null at the end of the part).
-    """
-    count = range(len(keys.sizes))
-    by = [*part, *(cuts[-1] if cuts else [])]
-    w = Window.partitionBy(*by).orderBy(*order)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    back = F.col("_back")
-    # the first item of a part starts runs; the first of a chunk is settled further up
-    unknown = 0 if cuts else 1
-    local = (items.withColumns({"_back": F.lag("_last").over(w), "_ahead": F.lead("_first").over(w)})
-             .withColumns({f"_edge{i}": F.when(back.isNull(), unknown).otherwise(
-                 keys.differ(i, F.col("_first"), back).cast("int")) for i in count}))
-    inside = local.withColumns({f"_off{i}": F.coalesce(
-        F.sum(F.col(f"_n{i}") + F.col(f"_edge{i}")).over(earlier), F.lit(0)) for i in count})
-    if not cuts:
-        return inside.drop("_back")
-    summary = local.groupBy(*by).agg(
-        F.max(F.when(back.isNull(), F.col("_first"))).alias("_first"),
-        F.max(F.when(F.col("_ahead").isNull(), F.col("_last"))).alias("_last"),
-        *[F.sum(F.col(f"_n{i}") + F.col(f"_edge{i}")).alias(f"_n{i}") for i in count])
-    above = _scan(summary, keys, part, cuts[:-1], chunk_order[:len(cuts[-1])], chunk_order)
-    carried = _carry(inside, above.select(
-        *by, F.col("_ahead").alias("_above_ahead"),
-        *[F.col(f"_{x}{i}").alias(f"_above_{x}{i}") for x in ("edge", "off") for i in count]), by)
-    first = back.isNull()
-    return (carried.withColumns({
-                "_ahead": F.coalesce("_ahead", "_above_ahead"),
-                **{f"_off{i}": F.col(f"_above_off{i}") + F.col(f"_off{i}")
-                   + F.when(first, 0).otherwise(F.col(f"_above_edge{i}")) for i in count},
-                **{f"_edge{i}": F.when(first, F.col(f"_above_edge{i}"))
-                   .otherwise(F.col(f"_edge{i}")) for i in count}})
-            .drop("_back", "_above_ahead",
-                  *[f"_above_{x}{i}" for x in ("edge", "off") for i in count]))
+        *[F.col(f"_count{i}").alias(f"run_{x.name}") for i, x in enumerate(levels)],
+        F.coalesce(*[F.when(F.col(f"_start{i}"), F.lit(i)) for i in scan.count]).cast("int")
+        .alias("start_level"),
+        (ahead.isNull() | scan.starts(last, F.col("_cur"), ahead)).alias("is_end"))

@@ -14,14 +14,7 @@ from pyspark.sql import functions as F
 
 from tallywork.functions import billing, dates
 from tallywork.operators.joins import join_every, only_keys
-from tallywork.operators.numbering import (
-    BUSY_ROWS,
-    Chunk,
-    busy_keys,
-    month_of,
-    numbered,
-    prefix_of,
-)
+from tallywork.operators.numbering import numbered
 from tallywork.plans.upkeep import stamp_claims
 from tallywork.practice import Practice
 
@@ -101,14 +94,11 @@ def claim_visits(db: Practice, selected: DataFrame | None) -> DataFrame:
 
 
 def paged_lines(db: Practice, selected: DataFrame | None,
-                limit: int = BUSY_ROWS) -> DataFrame:
-    """Claim lines with their page and their slot (1 to 6) on it, per client by date.
-    Clients of more than ``limit`` visits are numbered in chunks."""
+                ranges: int | None = None) -> DataFrame:
+    """Claim lines with their page and their slot (1 to 6) on it, per client by date."""
     lines = numbered(
         claim_visits(db, selected), ["client_id"],
-        [F.col("session_date"), F.col("visit_id"), F.col("provider_id")],
-        Chunk([month_of("session_date")]), "line_no",
-        busy_keys(db.visit, ["client_id"], limit))
+        [F.col("session_date"), F.col("visit_id"), F.col("provider_id")], "line_no", ranges)
     at = F.col("line_no") - 1
     return lines.withColumns({
         "page": (F.floor(at / LINES_PER_PAGE) + 1).cast("bigint"),
@@ -341,8 +331,7 @@ def printed_claims(db: Practice, as_of: datetime.date) -> DataFrame:
                      .alias("line_no"), F.lit("").alias("text")))
     services = (numbered(printed_claim_lines(db), key,
                          [F.col("session_date"), F.col("visit_id"), F.col("provider_id")],
-                         Chunk([month_of("session_date")]), "service_no",
-                         busy_keys(db.visit.where("claim_uid is not null"), key))
+                         "service_no")
                 .withColumns({**_date_parts("served", F.col("session_date"), "%y"),
                               "place": F.lit(PLACE_OF_SERVICE),
                               "pointer": F.lit(str(DIAGNOSIS_POINTER)),
@@ -355,33 +344,24 @@ def printed_claims(db: Practice, as_of: datetime.date) -> DataFrame:
 
 # ---- the portal's answer -------------------------------------------------------------
 
-def busy_uploads(db: Practice, limit: int) -> DataFrame:
-    """Months with more than ``limit`` visits: there are no more pages than visits."""
-    s = db.session.select(F.col("id").alias("session_id"), _month("session_date").alias("upload_no"))
-    return busy_keys(db.visit.select("session_id").join(s, "session_id"), ["upload_no"], limit)
-
-
 def _month(date: str | Column) -> Column:
     return F.date_format(date, "yyyyMM").cast("bigint")
 
 
-def sent_claims(db: Practice, selected: DataFrame | None, limit: int = BUSY_ROWS) -> DataFrame:
+def sent_claims(db: Practice, selected: DataFrame | None,
+                ranges: int | None = None) -> DataFrame:
     """Claim pages as they are sent: one upload per month of the first service, and in it
     the pages in the file's order (client name, client, page)."""
     names = db.client.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
     pages = claim_pages(db, selected).join(names, "client_id").withColumn(
         "upload_no", _month(F.col("items")[0]["session_date"]))
     return numbered(pages, ["upload_no"],
-                    [F.col("client_name"), F.col("client_id"), F.col("page")],
-                    Chunk([prefix_of("client_name"), "client_name", "client_id",
-                           "floor(page / 1000)"], steps=[1, 4]),
-                    "position", busy_uploads(db, limit))
+                    [F.col("client_name"), F.col("client_id"), F.col("page")], "position", ranges)
 
 
 def positions(results: DataFrame) -> DataFrame:
     """Result rows (upload_no, page_no, pos, ...) with their place in the whole upload."""
-    return numbered(results, ["upload_no"], [F.col("page_no"), F.col("pos")],
-                    Chunk(["page_no"]), "position")
+    return numbered(results, ["upload_no"], [F.col("page_no"), F.col("pos")], "position")
 
 
 def paired(sent: DataFrame, results: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions import billing, dates, forms
-from tallywork.operators.numbering import Chunk
 from tallywork.plans.upkeep import insert_absent, update_from, with_new_ids
 from tallywork.practice import Practice
 
@@ -117,10 +116,9 @@ def add_policies(db: Practice, added: DataFrame, carriers: DataFrame) -> DataFra
                          billing.text_key(F.col("name")).alias("_carrier"))
     rows = (added.withColumn("_carrier", billing.text_key(F.col("payer_name")))
             .join(ca, "_carrier"))
-    block = Chunk(["floor(form_id / 100000)"])
     wanted = [c for c in db.insurance.columns if c in rows.columns]
     return db.insurance.unionByName(
-        with_new_ids(db.insurance, rows, "form_id", block).select("id", *wanted),
+        with_new_ids(db.insurance, rows, "form_id").select("id", *wanted),
         allowMissingColumns=True)
 
 

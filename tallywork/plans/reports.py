@@ -17,7 +17,7 @@ from tallywork import schema
 from tallywork.functions import billing, dates
 from tallywork.operators.breaks import BreakSpec, ordering, subtotals, with_breaks
 from tallywork.operators.joins import left_first_wins
-from tallywork.operators.numbering import BUSY_ROWS, Chunk, Level, month_of, prefix_of
+from tallywork.operators.numbering import Level
 from tallywork.plans.upkeep import add_columns, duplicate_names, therapist_sessions
 from tallywork.plans.views import (
     attendance,
@@ -493,87 +493,50 @@ def printed_report(db: Practice, name: str, as_of: datetime.date) -> DataFrame:
     return report(db, name, as_of).orderBy(*ordering(REPORTS[name][1]))
 
 
-def _spec(name: str, levels: list[Level], part: list[str], chunk: Chunk,
+def _spec(name: str, levels: list[Level], part: list[str],
           sums: tuple[str, ...] = ()) -> BreakSpec:
-    return BreakSpec(levels, part, REPORTS[name][1], chunk, sums)
+    return BreakSpec(levels, part, REPORTS[name][1], sums)
 
 
 PER_CLIENT, PER_GROUP = Level("client", ["client_id"]), Level("group", ["group_id"])
 
 BREAKS: dict[str, BreakSpec] = {
     "attendance_by_client": _spec(
-        "attendance_by_client", [PER_CLIENT, PER_GROUP], ["client_name"],
-        Chunk(["group_name", month_of("session_date")]), MONEY_SUMS),
+        "attendance_by_client", [PER_CLIENT, PER_GROUP], ["client_name"], MONEY_SUMS),
     "attendance_by_group": _spec(
-        "attendance_by_group", [PER_GROUP, PER_CLIENT], ["group_name"],
-        Chunk([prefix_of("client_name"), "client_name", month_of("session_date")],
-              steps=[1, 3]), MONEY_SUMS),
+        "attendance_by_group", [PER_GROUP, PER_CLIENT], ["group_name"], MONEY_SUMS),
     "billing_insurance": _spec(
-        "billing_insurance", [PER_CLIENT], ["client_name", "client_id"],
-        Chunk([month_of("session_date")], [True]), MONEY_SUMS),
-    "cwip": _spec("cwip", [PER_CLIENT], ["client_name", "client_id"],
-                  Chunk([month_of("session_date")]), ("due",)),
-    "dup_clients": _spec("dup_clients", [PER_CLIENT, PER_GROUP], ["client_name", "client_id"],
-                         Chunk(["group_name", month_of("session_date")],
-                               [False, True]), MONEY_SUMS),
-    "evaluations": _spec("evaluations", [PER_GROUP], ["group_name"],
-                         Chunk(["session_date"], [True])),
+        "billing_insurance", [PER_CLIENT], ["client_name", "client_id"], MONEY_SUMS),
+    "cwip": _spec("cwip", [PER_CLIENT], ["client_name", "client_id"], ("due",)),
+    "dup_clients": _spec(
+        "dup_clients", [PER_CLIENT, PER_GROUP], ["client_name", "client_id"], MONEY_SUMS),
+    "evaluations": _spec("evaluations", [PER_GROUP], ["group_name"]),
     "income_by_therapist": _spec(
         "income_by_therapist", [Level("therapist", ["sn_month", "sn_year", "th_id"])],
-        ["sn_year", "sn_month", "th_name"], Chunk(["gp_name"]),
-        ("attend_n", "charge", "ins_pd", "client_pd")),
-    "last_30": _spec("last_30", [PER_GROUP], ["group_name"],
-                     Chunk([prefix_of("client_name")])),
-    "last_30_blank": _spec("last_30_blank", [PER_GROUP], ["group_name"],
-                           Chunk([prefix_of("client_name")])),
+        ["sn_year", "sn_month", "th_name"], ("attend_n", "charge", "ins_pd", "client_pd")),
+    "last_30": _spec("last_30", [PER_GROUP], ["group_name"]),
+    "last_30_blank": _spec("last_30_blank", [PER_GROUP], ["group_name"]),
     "monitoring": _spec("monitoring", [PER_CLIENT], ["client_name", "client_id"],
-                        Chunk([month_of("session_date")], [True]),
                         ("attend_n", "charge", "client_paid", "due")),
     "recent_sessions": _spec("recent_sessions", [Level("session", ["session_id"])],
-                             ["session_date", "group_id"],
-                             Chunk([prefix_of("client_name")]),
-                             ("attend_n", "charge", "client_paid")),
-    "voucher_clients": _spec(
-        "voucher_clients", [PER_CLIENT, PER_GROUP], ["client_name"],
-        Chunk(["group_name", month_of("session_date")]),
-        ("attend_n", "charge", "client_paid", "due")),
+                             ["session_date", "group_id"], ("attend_n", "charge", "client_paid")),
+    "voucher_clients": _spec("voucher_clients", [PER_CLIENT, PER_GROUP], ["client_name"],
+                             ("attend_n", "charge", "client_paid", "due")),
     "weekly_groups": _spec(
         "weekly_groups", [Level("day", ["session_date"]), PER_GROUP,
-                          Level("session", ["session_id"])],
-        ["session_date"], Chunk(["group_name", "session_time"])),
+                          Level("session", ["session_id"])], ["session_date"]),
 }
 
 
 # ---- headings and footers of a named report ------------------------------------------
 
-def busy_parts(db: Practice, part: list[str], limit: int = BUSY_ROWS) -> DataFrame | None:
-    """Parts of a report (clients by name, groups by name) with more than ``limit`` visits,
-    counted on the visits alone, before any of the report's joins. None: no such count."""
-    if part[0] == "client_name":
-        ids = db.visit.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
-        named = ids.join(db.client.select(F.col("id").alias("client_id"),
-                                          F.col("name").alias("client_name")), "client_id")
-    elif part == ["group_name"]:
-        s = db.session.select(F.col("id").alias("session_id"), "group_id")
-        named = (db.visit.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-                 .join(s, "session_id").groupBy("group_id").agg(F.sum("n").alias("n"))
-                 .join(db.group.select(F.col("id").alias("group_id"),
-                                       F.col("name").alias("group_name")), "group_id"))
-    else:
-        return None
-    return named.groupBy(*part).agg(F.sum("n").alias("n")).where(F.col("n") > limit).select(*part)
-
-
 def report_with_breaks(db: Practice, name: str, as_of: datetime.date,
-                       limit: int = BUSY_ROWS) -> DataFrame:
+                       ranges: int | None = None) -> DataFrame:
     """Rows of a report with its run numbers, heading levels and ends."""
-    spec = BREAKS[name]
-    return with_breaks(report(db, name, as_of), spec, busy_parts(db, spec.part, limit))
+    return with_breaks(report(db, name, as_of), BREAKS[name], ranges)
 
 
 def report_footers(db: Practice, name: str, as_of: datetime.date, level: str,
-                   scope: str = "level", limit: int = BUSY_ROWS) -> DataFrame:
+                   scope: str = "level", ranges: int | None = None) -> DataFrame:
     """A report's subtotals, one row per run."""
-    spec = BREAKS[name]
-    return subtotals(report(db, name, as_of), spec, level, scope,
-                     busy_parts(db, spec.part, limit))
+    return subtotals(report(db, name, as_of), BREAKS[name], level, scope, ranges)

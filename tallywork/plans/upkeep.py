@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallywork import schema
 from tallywork.functions import billing, dates
 from tallywork.operators.joins import without_keys
-from tallywork.operators.numbering import Chunk, numbered, prefix_of
+from tallywork.operators.numbering import numbered
 from tallywork.plans.views import balance_sums, batch_value, client_balances, dated_visits
 from tallywork.practice import Practice
 
@@ -52,12 +52,10 @@ def insert_absent(old: DataFrame, key: str, rows: DataFrame) -> DataFrame:
     return old.unionByName(fresh, allowMissingColumns=True)
 
 
-def with_new_ids(old: DataFrame, rows: DataFrame, order: str,
-                 chunk: Chunk | None = None) -> DataFrame:
+def with_new_ids(old: DataFrame, rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with ids that follow the largest one in ``old``, by ``order`` (unique)."""
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    cut = chunk or Chunk([prefix_of(order)])
-    return (numbered(rows, [], [F.col(order)], cut, "_no")
+    return (numbered(rows, [], [F.col(order)], "_no")
             .withColumn("id", (F.col("_no") + top).cast("bigint")).drop("_no"))
 
 

@@ -1,4 +1,4 @@
-"""Chunked numbering and control breaks against a plain loop over the sorted rows."""
+"""Numbering and control breaks over ranges of the order, against a plain loop over the sorted rows."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywork.operators.breaks import BreakSpec, subtotals, with_breaks, with_parity
-from tallywork.operators.numbering import Chunk, Level, busy_keys, numbered, runs
+from tallywork.operators.numbering import Level, laid_out, numbered, runs
 
 LEVELS = [Level("client", ["client_id"]), Level("group", ["group_id"])]
 
@@ -52,42 +52,19 @@ def loop(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [None, 0, 80, 10_000])
+@pytest.mark.parametrize("ranges", [None, 1, 7, 150])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_runs(spark, seed, limit):
+def test_runs(spark, seed, ranges):
     df, rows = data(spark, seed)
-    busy = None if limit is None else busy_keys(df, ["name"], limit)
-    got = runs(df, LEVELS, [F.col("group_name"), F.col("day"), F.col("id")], ["name"],
-               Chunk(["group_name", "floor(day / 7)"]), busy)
+    got = runs(df, LEVELS, [F.col("group_name"), F.col("day"), F.col("id")], ["name"], ranges)
     found = {r.id: (r.run_client, r.run_group, r.start_level, r.is_end) for r in got.collect()}
     assert found == loop(rows)
 
 
-@pytest.mark.parametrize("steps", [[1], [1, 2], [1, 2, 3]])
-def test_runs_in_chunks_of_chunks(spark, steps):
-    df, rows = data(spark, 9)
-    got = runs(df, LEVELS, [F.col("group_name"), F.col("day"), F.col("id")], ["name"],
-               Chunk(["group_name", "floor(day / 10)", "floor(day / 5)"], steps=steps))
-    found = {r.id: (r.run_client, r.run_group, r.start_level, r.is_end) for r in got.collect()}
-    assert found == loop(rows)
-
-
-def test_numbered_in_chunks_of_chunks(spark):
-    df, rows = data(spark, 10)
-    got = numbered(df, ["client_id"], [F.col("day").desc(), F.col("id")],
-                   Chunk(["floor(day / 20)", "floor(day / 10)", "day"], [True] * 3, [1, 2, 3]), "no")
-    found = {r.id: r.no for r in got.collect()}
-    for client in (1, 2):
-        mine = sorted((r for r in rows if r[1] == client), key=lambda r: (-r[4], r[5]))
-        assert [found[r[5]] for r in mine] == list(range(1, len(mine) + 1))
-
-
-@pytest.mark.parametrize("limit", [None, 0, 80, 10_000])
-def test_numbered(spark, limit):
+@pytest.mark.parametrize("ranges", [None, 1, 7, 150])
+def test_numbered(spark, ranges):
     df, rows = data(spark, 3)
-    busy = None if limit is None else busy_keys(df, ["name"], limit)
-    got = numbered(df, ["name"], [F.col("day").desc(), F.col("id")],
-                   Chunk(["floor(day / 7)"], [True]), "no", busy)
+    got = numbered(df, ["name"], [F.col("day").desc(), F.col("id")], "no", ranges)
     found = {r.id: r.no for r in got.collect()}
     expected = {}
     for name in {r[0] for r in rows}:
@@ -96,17 +73,34 @@ def test_numbered(spark, limit):
     assert found == expected
 
 
+def test_a_client_with_a_third_of_all_rows_lies_in_many_ranges(spark):
+    df, rows = data(spark, 8, 3000)
+    spread = laid_out(df, [F.col("name"), F.col("day"), F.col("id")], 12).withColumn(
+        "range", F.shiftright("_place", 33))
+    sizes = [r["count"] for r in spread.groupBy("range").count().collect()]
+    hot = spread.where("name = 'hot'").select("range").distinct().count()
+    assert hot >= 4 and max(sizes) < 2 * len(rows) / 12
+    plan = numbered(df, ["name"], [F.col("day"), F.col("id")], "no", 12)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_no_rows_at_all(spark, ranges):
+    df = data(spark, 1)[0].where("id < 0")
+    assert runs(df, LEVELS, [F.col("id")], ["name"], ranges).collect() == []
+    assert numbered(df, [], [F.col("id")], "no", ranges).columns == [*df.columns, "no"]
+
+
 def test_numbered_over_all_rows(spark):
     df, rows = data(spark, 4)
-    got = numbered(df, [], [F.col("day"), F.col("id")], Chunk(["day"]), "no")
+    got = numbered(df, [], [F.col("day"), F.col("id")], "no")
     ordered = sorted(rows, key=lambda r: (r[4], r[5]))
     assert {r.id: r.no for r in got.collect()} == {r[5]: i for i, r in enumerate(ordered, 1)}
 
 
 def spec():
     return BreakSpec(LEVELS, ["name"], [("name", "asc"), ("group_name", "asc"), ("day", "asc"),
-                                        ("id", "asc")],
-                     Chunk(["group_name", "floor(day / 7)"]), ["amount"])
+                                        ("id", "asc")], ["amount"])
 
 
 def test_subtotals_of_both_scopes(spark):
@@ -133,11 +127,6 @@ def test_any_runs_refine_level_runs(spark):
 
 def test_parity_alternates_down_the_report(spark):
     df, rows = data(spark, 7, 60)
-    got = with_parity(df.fillna("z", ["name"]), spec(), Chunk(["substring(name, 1, 1)"]))
+    got = with_parity(df.fillna("z", ["name"]), spec(), 9)
     ordered = sorted(rows, key=lambda r: (r[0] or "z", r[2], r[4], r[5]))
     assert {r.id: r.parity for r in got.collect()} == {r[5]: i % 2 for i, r in enumerate(ordered)}
-
-
-def test_only_busy_groups_are_cut(spark):
-    df, _ = data(spark, 8)
-    assert [r["name"] for r in busy_keys(df, ["name"], 100).collect()] == ["hot"]

@@ -36,30 +36,16 @@ def test_printed_order(case):
 
 
 @pytest.mark.parametrize("name", ["attendance_by_client", "attendance_by_group", "weekly_groups"])
-def test_busy_parts_change_no_result(case, name):
-    """Everything in chunks, nothing in chunks, and only what is busy: the same."""
+def test_ranges_change_no_result(case, name):
+    """Over one range and over many: the same."""
     df = reports.report(case.db, name, AS_OF)
     if name == "weekly_groups":  # ten days hold few rows; take them all
         df = reports.report(case.db, name, datetime.date(1990, 1, 1))
     spec = reports.BREAKS[name]
     runs = ["id", *[f"run_{x.name}" for x in spec.levels], "start_level", "is_end"]
     from tallywork.operators.breaks import with_breaks
-    from tallywork.operators.numbering import busy_keys, runs as all_in_chunks
-    plain = rows(with_breaks(df, spec).select(*runs))
-    some = rows(with_breaks(df, spec, busy_keys(df, spec.part, 20)).select(*runs))
-    cut = rows(all_in_chunks(df, spec.levels, spec.order_in_part(), spec.part, spec.chunk)
-               .select(*runs))
-    assert plain == some == cut and plain
-
-
-def test_busy_parts_are_counted_on_the_visits(case):
-    by_name = reports.busy_parts(case.db, ["client_name"], 60)
-    seen = views.attendance_all(case.db).groupBy("client_name").count().where("count > 60")
-    assert rows(by_name) == rows(seen.select("client_name"))
-    groups = reports.busy_parts(case.db, ["group_name"], 600)
-    seen = views.attendance_all(case.db).groupBy("group_name").count().where("count > 600")
-    assert rows(groups) == rows(seen.select("group_name")) and groups.count()
-    assert reports.busy_parts(case.db, ["session_date"], 1) is None
+    one, many = (rows(with_breaks(df, spec, n).select(*runs)) for n in (1, 60))
+    assert one == many and one
 
 
 def test_two_clients_of_one_name_interleave(spark, tiny):
