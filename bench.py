@@ -57,11 +57,13 @@ def main() -> None:
         return reports.report_footers(db, name, AS_OF, "client", scope)
 
     def streamed() -> None:
-        rows = (spark.readStream.schema(star.star_table(spark, folder, "events").schema)
+        events = star.star_table(spark, folder, "events")
+        rows = (spark.readStream.schema(events.schema)
                 .option("pathGlobFilter", "events.parquet").parquet(folder))
         out, state = (tempfile.mkdtemp(prefix=p, dir=stored) for p in ("cells-", "stream-"))
-        stream.keep_balances(star.change_rows(rows), out, state, available_now=True).awaitTermination()
-        run_all(stream.balances(stream.read_cells(spark, out)))
+        stream.keep_balances(star.change_rows(rows, star.visits_of(events)), out, state,
+                             available_now=True).awaitTermination()
+        run_all(stream.read_balances(spark, out))
 
     jobs: dict[str, Callable[[], None]] = {
         "r01_attendance_all": lambda: run_all(views.attendance_all(db)),

@@ -750,9 +750,13 @@ select id, {AS_OF} today, case when bill_date is not null then strftime(bill_dat
 SQL["e02_report_variables"] = footer("client_name client_id i:run_client n_rows m:due_sum", BY_CWIP,
                                      "client_name, client_id, run_client", ["due"])
 add("t01_streamed_balances", BAL, """
-select user_id client_id, min(cast(ts as date)) oldest_session_date, max(cast(ts as date)) recent,
-  sum(cast(value as decimal(8,2))) charges,
-  sum(case when event_type = 'purchase' then cast(value as decimal(8,2)) else 0 end) client_paid,
+select e.user_id client_id, min(cast(e.ts as date)) oldest_session_date, max(cast(e.ts as date)) recent,
+  sum(cast(e.value as decimal(8,2))) charges,
+  sum(case when e.event_type = 'purchase' then cast(e.value as decimal(8,2)) else 0 end) client_paid,
   0.00 insurance_paid,
-  sum(case when event_type = 'purchase' then 0 else cast(value as decimal(8,2)) end) balance
-from events group by 1""")
+  sum(case when e.event_type = 'purchase' then 0 else cast(e.value as decimal(8,2)) end) balance
+from events e
+where e.event_type <> 'error' and e.user_id % 13 <> 0
+  and cast(e.ts as date) >= date '2024-01-01' + cast(e.user_id % 20 as integer)
+  and not exists (select 1 from events d where d.event_type = 'error' and d.event_id = e.event_id + 1)
+group by 1""")

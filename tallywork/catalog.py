@@ -657,13 +657,22 @@ def _field_functions(db: Practice) -> DataFrame:
         report_fields.field(v, "no_such_field").alias("own_text"))
 
 
+#: The stream's clients and their billing cutoffs: a day of January 2024 each, none for every 13th.
+STREAM_CUTOFF = "if(id % 13 = 0, null, date_add(date'2024-01-01', cast(id % 20 as int)))"
+
+
 @query("t01_streamed_balances")
 def _streamed(c: Case) -> DataFrame:
-    """Balances kept by the stream job over the events, run until the input is used up."""
-    kinds = c.table("events").schema
-    rows = (c.spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet")
-            .parquet(c.folder))
-    out = c.scratch("cells")
-    job = stream.keep_balances(star.change_rows(rows), out, c.scratch("stream"), available_now=True)
+    """Balances kept by the stream job over the events, which arrive in several batches; one type of
+    event deletes the visit before it."""
+    events = c.table("events")
+    arriving = c.scratch("events")
+    events.repartitionByRange(5, "event_id").write.parquet(arriving)
+    rows = c.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    clients = events.select(F.col("user_id").alias("id")).distinct().withColumn(
+        "billing_cutoff", F.expr(STREAM_CUTOFF))
+    out = c.scratch("balances")
+    job = stream.keep_balances(star.change_rows(rows, star.visits_of(events)), out, c.scratch("stream"),
+                               clients, fold_after=3, available_now=True)
     job.awaitTermination()
-    return stream.balances(stream.read_cells(c.spark, out))
+    return stream.read_balances(c.spark, out)

@@ -190,14 +190,24 @@ def from_star(spark: SparkSession, folder: str) -> Practice:
     return Practice(tables)
 
 
-def change_rows(events: DataFrame) -> DataFrame:
-    """Events seen as visits being entered, one change row (``op`` +1) each."""
+def visits_of(events: DataFrame) -> DataFrame:
+    """Events seen as visits: all but those of type ``error``, which take a visit back."""
     charge = F.col("value").cast("decimal(8,2)")
-    return events.select(
+    none = F.lit(0).cast("decimal(8,2)")
+    return events.where("event_type <> 'error'").select(
+        F.col("event_id").alias("visit_id"),
         F.col("user_id").alias("client_id"),
         F.to_date("ts").alias("session_date"),
         charge.alias("charge"),
-        F.when(F.col("event_type") == "purchase", charge)
-         .otherwise(F.lit(0).cast("decimal(8,2)")).alias("client_paid"),
-        F.lit(0).cast("decimal(8,2)").alias("insurance_paid"),
-        F.lit(1).alias("op"))
+        F.when(F.col("event_type") == "purchase", charge).otherwise(none).alias("client_paid"),
+        none.alias("insurance_paid"))
+
+
+def change_rows(events: DataFrame, visits: DataFrame) -> DataFrame:
+    """Events as changes: visits being entered (``op`` +1), and for each event of type ``error`` the visit of
+    the event before it being deleted (-1), with that visit's client, day and money from ``visits``.
+    Where the event before is no visit, nothing is deleted."""
+    gone = events.where("event_type = 'error'").select((F.col("event_id") - 1).alias("visit_id"))
+    return (visits_of(events).withColumn("op", F.lit(1))
+            .unionByName(gone.join(visits, "visit_id").withColumn("op", F.lit(-1)))
+            .drop("visit_id"))
