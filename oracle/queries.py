@@ -516,6 +516,15 @@ union all select 'session', count(*), max(cast(s.id as varchar)) from p_session
   where g.evaluation <> 1""")
 add("m16_set_null", "id therapist_id",
     "select id, case when therapist_id % 3 <> 0 then therapist_id end therapist_id from p_session")
+_USED = """(select cpt, 'visit' by_table from p_visit union all select cpt, 'group' from p_group)"""
+add("m16_refused", "row_key by_table by_column uses", f"""
+select p.cpt row_key, u.by_table, 'cpt' by_column, count(*) uses from p_procedure p join {_USED} u on u.cpt = p.cpt
+group by 1, 2""")
+add("m16_after_refusals", "table_name n last_key", f"""
+select 'procedure' table_name, count(*) n, max(cpt) last_key from p_procedure
+  where cpt in (select cpt from {_USED} u where cpt is not null)
+union all select 'visit', count(*), max(cast(id as varchar)) from p_visit
+union all select 'group', count(*), max(cast(id as varchar)) from p_group""")
 add("m17_violations", "table_name row_key rule", """
 select 'visit' table_name, id row_key, 'insurance_paid required' rule from p_visit where insurance_paid is null
 union all select 'officer', cast(id as varchar), 'email required' from p_officer where email is null

@@ -500,6 +500,15 @@ def _sizes(db: Practice, *names: str) -> DataFrame:
     return parts
 
 
+def _procedures(c: Case) -> tuple[Practice, str, DataFrame]:
+    """All procedures are to go, among them some that nothing uses."""
+    unused = c.raw.procedure.limit(0).unionByName(c.spark.createDataFrame(
+        [("00000",), ("00001",)], "cpt string"), allowMissingColumns=True).select(*[
+            F.col(f.name).cast(f.dataType) for f in c.raw.procedure.schema.fields])
+    db = c.raw.replaced(procedure=c.raw.procedure.unionByName(unused))
+    return db, "procedure", db.procedure.select("cpt")
+
+
 def _old_groups(c: Case) -> Practice:
     gone = c.raw.group.where("evaluation = 1").select("id")
     return upkeep.delete_rows(c.raw, "group", gone)
@@ -543,6 +552,8 @@ _add(
     m16_set_null=lambda c: upkeep.delete_rows(
         c.raw, "therapist", c.raw.therapist.where("id % 3 = 0").select("id")).session.select(
         "id", "therapist_id"),
+    m16_refused=lambda c: upkeep.refused_deletes(*_procedures(c)),
+    m16_after_refusals=lambda c: _sizes(upkeep.delete_rows(*_procedures(c)), "procedure", "visit", "group"),
     m17_violations=lambda c: quality.violations(c.raw),
     m18_charge_not_rate=lambda c: reports.charge_not_rate(c.db, AS_OF).select(
         "id", "charge", "group_rate"),

@@ -7,7 +7,7 @@ and shuffles otherwise, so a dimension that outgrows the threshold still works.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,31 @@ def join_every(many: DataFrame, few: DataFrame, key: str, condition: Column | No
     return joined if condition is None else joined.where(condition)
 
 
+#: Steps of a binary search: enough for a list of 2**31 bounds.
+HALVINGS = [1 << k for k in range(30, -1, -1)]
+
+
+def since(many: DataFrame, value: str, few: DataFrame, bound: str,
+          keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Every row of ``many`` with each row of ``few`` whose ``bound`` is not above ``value`` (and that
+    ``keep`` likes, a condition on the row of ``few`` as a struct).
+
+    The parameter rows are sorted by their bound into one list, in which each row finds its rank by binary
+    search; only pairs of the result ever become rows. The list is one value: it has a row for
+    each billing batch that was ever set up, and the result has far more. Null bounds and values pair
+    with nothing.
+    """
+    item = F.struct(F.col(bound).alias("bound"), F.struct(*few.columns).alias("row"))
+    ranks = few.where(F.col(bound).isNotNull()).agg(F.sort_array(F.collect_list(item))).scalar()
+    listed = many.withColumn("_ranks", ranks)
+    rank = F.aggregate(
+        F.lit(HALVINGS), F.lit(0),
+        lambda at, step: F.when(F.get("_ranks", at + step - 1)["bound"] <= F.col(value), at + step).otherwise(at))
+    found = F.transform(F.slice("_ranks", F.lit(1), rank), lambda x: x["row"])
+    found = found if keep is None else F.filter(found, keep)
+    return listed.select(*many.columns, F.explode(found).alias("_row")).select(*many.columns, "_row.*")
+
+
 def only_keys(df: DataFrame, column: str, keys: DataFrame | Sequence) -> DataFrame:
     """Rows whose ``column`` is in a list. A list of literals becomes ``IN``; a table of
     keys, of any size, a semi-join."""

@@ -254,7 +254,9 @@ def invoice_batch(db: Practice, as_of: datetime.date) -> DataFrame:
                  F.col("client_paid").alias("total_client_paid"),
                  F.col("insurance_paid").alias("total_insurance_paid"), "balance",
                  dates.day(as_of).alias("invoice_date"), "invoice_note"))
-    lines = attendance(db).where("attend_n != 0").select("client_id", "id", *DETAIL)
+    # only the visits of those clients meet the dimensions
+    visits = db.visit.where("attend_n != 0").join(due_now, "client_id", "left_semi").select(db.visit.columns)
+    lines = attendance(db.replaced(visit=visits)).select("client_id", "id", *DETAIL)
     return c.join(lines, "client_id", "left")
 
 

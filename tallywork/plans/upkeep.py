@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -243,22 +244,91 @@ def merge_clients(db: Practice, chosen: DataFrame) -> Practice:
     return delete_rows(db.replaced(visit=moved), "client", mapping.select("_old"))
 
 
-def delete_rows(db: Practice, table: str, keys: DataFrame) -> Practice:
-    """Delete rows by key, and whatever a reference to them says: cascade or set null."""
-    out = db.replaced(**{table: without_keys(db[table], schema.KEYS[table], keys)})
+def _downwards() -> list[str]:
+    """The tables, each after those from which a delete can reach it."""
+    left, out = list(schema.KEYS), []
+    while left:
+        free = [t for t in left if not any(
+            r.child == t and r.on_delete == "cascade" and r.parent in left for r in schema.REFERENCES)]
+        out += free
+        left = [t for t in left if t not in free]
+    return out
+
+
+@dataclass(frozen=True)
+class Deletion:
+    """What deleting rows of ``table`` leads to: by table, the rows that would go (``key``) with the row
+    whose deletion leads there (``root``), and the ``refusals``: the rows (``by_table``, ``by_key``) that
+    still refer to such a one and do not allow it."""
+
+    table: str
+    reached: dict[str, DataFrame]
+    refusals: DataFrame
+
+    def allowed(self, table: str) -> DataFrame | None:
+        """Keys of a table that do go: those of a root that nothing refuses."""
+        rows = self.reached.get(table)
+        if rows is None:
+            return None
+        return rows.join(self.refusals.select("root").distinct(), "root", "left_anti").select("key").distinct()
+
+
+def deletion(db: Practice, table: str, keys: DataFrame) -> Deletion:
+    """Follow the references down, one step a table: the frontier of a table is all rows that the tables
+    above lead to. A reference that restricts refuses a row of its parent while any child that would
+    not go with the same root refers to it, and so refuses the root that led there."""
+    own = keys.select(F.col(keys.columns[0]).cast("string").alias("key")).distinct()
+    start = db[table].select(F.col(schema.KEYS[table]).cast("string").alias("key")).join(own, "key", "left_semi")
+    reached = {table: start.withColumn("root", F.col("key"))}
+    refusals = None
+    for name in _downwards():
+        for ref in schema.REFERENCES:
+            if ref.child == name and ref.on_delete == "cascade" and ref.parent in reached:
+                led = reached[ref.parent].select(F.col("key").alias("_to"), "root")
+                child = db[name].select(F.col(schema.KEYS[name]).cast("string").alias("key"),
+                                        F.col(ref.column).cast("string").alias("_to"))
+                found = child.join(led, "_to").select("key", "root")
+                reached[name] = reached[name].unionByName(found) if name in reached else found
     for ref in schema.REFERENCES:
-        if ref.parent != table:
-            continue
-        child = out[ref.child]
-        if ref.on_delete == "set null":
-            gone = keys.select(F.col(keys.columns[0]).alias("_key")).distinct()
-            joined = child.join(gone, F.col(ref.column) == F.col("_key"), "left")
-            kept = F.when(F.col("_key").isNull(), F.col(ref.column))
-            out = out.replaced(**{ref.child: joined.withColumn(ref.column, kept)
-                                  .select(*child.columns)})
-        elif ref.on_delete == "cascade":
-            key = schema.KEYS[ref.child]
-            gone = keys.select(F.col(keys.columns[0]).alias("_key"))
-            lost = child.join(gone, F.col(ref.column) == F.col("_key"), "left_semi").select(key)
-            out = delete_rows(out, ref.child, lost)
+        if ref.on_delete == "restrict" and ref.parent in reached:
+            led = reached[ref.parent].select(F.col("key").alias("row_key"), "root")
+            child = db[ref.child].select(F.col(schema.KEYS[ref.child]).cast("string").alias("by_key"),
+                                         F.col(ref.column).cast("string").alias("row_key"))
+            using = child.join(led, "row_key")
+            if ref.child in reached:
+                going = reached[ref.child].select(F.col("key").alias("by_key"), "root")
+                using = using.join(going, ["by_key", "root"], "left_anti")
+            using = using.select("root", F.lit(ref.parent).alias("parent"), "row_key",
+                                 F.lit(ref.child).alias("by_table"), F.lit(ref.column).alias("by_column"),
+                                 "by_key")
+            refusals = using if refusals is None else refusals.unionByName(using)
+    if refusals is None:
+        refusals = keys.sparkSession.createDataFrame(
+            [], "root string, parent string, row_key string, by_table string, by_column string, by_key string")
+    return Deletion(table, reached, refusals)
+
+
+def delete_rows(db: Practice, table: str, keys: DataFrame) -> Practice:
+    """Delete rows by key, and whatever a reference to them says: cascade, set null, or restrict, which
+    keeps the row, and what its deletion would have led to (``refused_deletes`` lists them)."""
+    plan = deletion(db, table, keys)
+    out = db
+    for name in plan.reached:
+        gone = plan.allowed(name)
+        for ref in schema.REFERENCES:
+            if ref.parent == name and ref.on_delete == "set null":
+                child = out[ref.child]
+                joined = child.join(gone, F.col(ref.column).cast("string") == F.col("key"), "left")
+                kept = F.when(F.col("key").isNull(), F.col(ref.column))
+                out = out.replaced(**{ref.child: joined.withColumn(ref.column, kept).select(*child.columns)})
+    for name in plan.reached:
+        rows = out[name]
+        left = rows.join(plan.allowed(name), F.col(schema.KEYS[name]).cast("string") == F.col("key"), "left_anti")
+        out = out.replaced(**{name: left})
     return out
+
+
+def refused_deletes(db: Practice, table: str, keys: DataFrame) -> DataFrame:
+    """row_key (of ``table``), by_table, by_column, uses: why rows are not deleted."""
+    return (deletion(db, table, keys).refusals.groupBy(F.col("root").alias("row_key"), "by_table", "by_column")
+            .agg(F.count(F.lit(1)).alias("uses")))

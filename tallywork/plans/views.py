@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.functions import billing, dates
-from tallywork.operators.joins import join_every, scalar
+from tallywork.operators.joins import scalar, since
 from tallywork.practice import Practice
 
 
@@ -113,8 +113,7 @@ def batch_clients(db: Practice) -> DataFrame:
     """Each billing batch with the clients seen since its cutoff."""
     b = db.batch.select(F.col("name").alias("batch_name"), "cutoff", "invoice_threshold")
     c = db.client.select(F.col("id").alias("client_id"), "recent")
-    return (join_every(c, b, "client_id", F.col("recent") >= F.col("cutoff"))
-            .select("batch_name", "invoice_threshold", "client_id"))
+    return since(c, "recent", b, "cutoff").select("batch_name", "invoice_threshold", "client_id")
 
 
 def client_with_batch(db: Practice) -> DataFrame:
@@ -124,11 +123,10 @@ def client_with_batch(db: Practice) -> DataFrame:
 
 def bulk_invoices(db: Practice) -> DataFrame:
     """Clients of the current batch who owe more than its threshold."""
-    current = F.col("batch_name") == "current"
-    b = batch_clients(db).where(current).select("client_id", "invoice_threshold")
+    current = db.batch.where("name = 'current'").select("cutoff", "invoice_threshold")
     c = db.client.select(F.col("id").alias("client_id"), "name", "balance", "recent")
-    return (c.join(b, "client_id").where(F.col("balance") > F.col("invoice_threshold"))
-            .select("client_id", "name", "balance", "recent"))
+    owing = since(c, "recent", current, "cutoff", lambda b: F.col("balance") > b["invoice_threshold"])
+    return owing.select(*c.columns)
 
 
 # name -> builder(db, as_of)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import d, m, rows, table
 from tallywork.plans import lookups, reports, upkeep, views
-from tallywork.operators.joins import join_every, left_first_wins, only_keys
+from tallywork.operators.joins import join_every, left_first_wins, only_keys, since
 
 AS_OF = datetime.date(2001, 11, 15)
 
@@ -92,6 +92,18 @@ def test_patterns_ignore_case(spark, tiny):
     assert reports.cwip(db, AS_OF).count() == reports.cwip(tiny, AS_OF).count() == 6
 
 
+@pytest.mark.parametrize("bounds", [[], [3], [None, 1, 4, 4, 9], list(range(40))])
+def test_since_finds_each_bound_that_is_not_above(spark, bounds):
+    few = spark.createDataFrame([(i, b) for i, b in enumerate(bounds)], "n int, bound int")
+    values = [None, 0, 1, 4, 5, 100]
+    many = spark.createDataFrame([(v,) for v in values], "value int")
+    got = since(many, "value", few, "bound")
+    assert sorted(map(tuple, got.select("value", "n").collect())) == sorted(
+        (v, i) for v in values if v is not None for i, b in enumerate(bounds) if b is not None and b <= v)
+    some = since(many, "value", few, "bound", lambda x: x["n"] % 2 == 0)
+    assert rows(some) == rows(got.where("n % 2 = 0"))
+
+
 def test_join_every_in_any_number_of_slots(spark):
     many = spark.range(50).withColumnRenamed("id", "a")
     few = spark.range(3).withColumnRenamed("id", "b")

@@ -79,6 +79,39 @@ def test_deletes_follow_references(spark, tiny):
     assert carrier.insurance.count() == 0 and carrier.client.count() == 4
 
 
+def test_a_used_procedure_stays_with_what_uses_it(spark, tiny):
+    used = {r.cpt for r in tiny.visit.collect()} | {r.cpt for r in tiny.group.collect()}
+    extra = table(spark, "procedure", dict(cpt="00000"))
+    db = tiny.replaced(procedure=tiny.procedure.unionByName(extra))
+    everything = db.procedure.select("cpt")
+    left = upkeep.delete_rows(db, "procedure", everything)
+    assert {r.cpt for r in left.procedure.collect()} == used & {r.cpt for r in db.procedure.collect()}
+    assert left.visit.count() == tiny.visit.count() and left.group.count() == tiny.group.count()
+    refused = upkeep.refused_deletes(db, "procedure", everything).collect()
+    assert "00000" not in {r.row_key for r in refused}
+    uses = sum(r.uses for r in refused if r.by_table == "visit")
+    assert uses == tiny.visit.join(db.procedure, "cpt", "left_semi").count()
+
+
+def test_refusals_are_carried_up_to_every_parent_that_led_there(spark, tiny, monkeypatch):
+    """A reference that restricts, two steps below what is deleted: one root is refused with all that
+    lies under it, the other goes."""
+    from tallywork import schema
+    more = [*schema.REFERENCES, schema.Reference("batch", "name", "visit", "restrict")]
+    monkeypatch.setattr(schema, "REFERENCES", more)
+    visits = {r.id: r.session_id for r in tiny.visit.collect()}
+    groups = {r.id: r.group_id for r in tiny.session.collect()}
+    held = min(v for v, s in visits.items() if groups[s] == 1)
+    db = tiny.replaced(batch=table(spark, "batch", dict(name=held)))
+    both = spark.createDataFrame([(g,) for g in sorted(set(groups.values()))], "id long")
+    left = upkeep.delete_rows(db, "group", both)
+    assert {r.id for r in left.group.collect()} & set(groups.values()) == {1}
+    assert {r.id for r in left.session.collect()} == {s for s, g in groups.items() if g == 1}
+    assert {r.id for r in left.visit.collect()} == {v for v, s in visits.items() if groups[s] == 1}
+    refused = upkeep.refused_deletes(db, "group", both).collect()
+    assert [(r.row_key, r.by_table, r.uses) for r in refused] == [("1", "batch", 1)]
+
+
 def test_a_returning_client(spark, tiny):
     db = tiny.replaced(client=table(spark, "client", dict(id=1, name="A", recent=d("2001-05-05")),
                                     dict(id=2, name="B", billing_cutoff=d("2001-01-01"),
