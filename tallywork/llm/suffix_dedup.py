@@ -14,9 +14,13 @@ order, a block at a time. Where one anchor has more rows than a block, strings t
 their block are compared by hash across blocks. Anchors and strings compare by 64-bit hashes, within
 an anchor.
 
-``keep_first``: the copy with the smallest (doc_id, position) stays. Results: null and empty texts
-have no strings; repeated rows are copies of each other (rows that share a doc_id are told apart by
-their texts; those with equal texts too lose the same bytes, all but one kept by ``deduplicated``);
+A row is known by its doc_id and a 64-bit hash of its text, so rows that share a doc_id are told apart;
+equal rows are found by a 128-bit digest.
+A run of one byte has equal strings all along; it is one row with the number of its strings.
+
+``keep_first``: the copy with the smallest (doc_id, hash of the text, position) stays. Results: null and empty
+texts have no strings; equal rows are copies of each other (``removal_digests`` takes the bytes of
+all, ``deduplicated`` leaves one as it is and empties the others, but for texts under LENGTH bytes);
 rows without a doc_id come first in order; further columns are not read.
 """
 
@@ -36,6 +40,11 @@ from tallywork.llm.words import BASE_INVERSE, U, mix, powers, running_hash, span
 LENGTH, GRAM = 200, 48
 #: Rows whose bytes are sorted at once (about 270 bytes each).
 BLOCK = 6000
+#: Strings of one text whose anchors are looked for at once.
+STRETCH = 1 << 20
+#: Columns of a stretch of strings; ``at`` holds its first string, how often it is repeated right
+#: after itself (23 bits) and its number of strings (9 bits).
+ROW = ["h", "c", "doc_id", "t", "at"]
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -66,23 +75,30 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of one text, for each run of neighbouring strings with one anchor: the anchor's hash, the
-    hash of all bytes of the run (and its shape), the first string, the number of strings."""
+    hash of all bytes of the run (and its shape), the first string, the number of strings, and how
+    many such runs follow each other (over 1 only for equal strings, one after the other)."""
     count = len(data) - LENGTH + 1
     if count <= 0:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     sums = running_hash(data)
     gram = mix((sums[GRAM:] - sums[:-GRAM]) * powers(BASE_INVERSE, len(sums))[:len(sums) - GRAM])
-    where = sliding_argmin(gram, LENGTH - GRAM + 1)
+    width = LENGTH - GRAM + 1
+    where = np.concatenate([lo + sliding_argmin(gram[lo:min(lo + STRETCH, count) + width - 1], width)
+                            for lo in range(0, count, STRETCH)])
     first = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1))
     runs = np.diff(np.append(first, count))
     anchor = where[first]
     around = span_hash(sums, first, first + runs - 1 + LENGTH)
     shape = (anchor - first).astype(np.uint64) * U(1 << 20) + runs.astype(np.uint64)
-    return gram[anchor], mix(around ^ mix(shape)), first, runs
+    h, c = gram[anchor], mix(around ^ mix(shape))
+    again = (runs[1:] == 1) & (runs[:-1] == 1) & (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    again &= np.arange(1, len(h)) % (1 << 22) != 0  # the number has 23 bits
+    head = np.flatnonzero(np.concatenate(([True], ~again)))
+    return h[head], c[head], first[head], runs[head], np.diff(np.append(head, len(h)))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """h, c (anchor, bytes around), doc_id, at (first string and number of strings, nine bits)."""
+    """The rows of all texts (``doc_id``, ``t``, ``text``): h, c (anchor, bytes around), doc_id, t, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -90,22 +106,23 @@ def anchors(docs: DataFrame) -> DataFrame:
                 data, at = text_bytes(batch.column("text"))
                 hs, cs, ids, firsts = [], [], [], []
                 for d in range(batch.num_rows):
-                    h, c, first, many = anchors_of(data[at[d]:at[d + 1]])
+                    h, c, first, many, times = anchors_of(data[at[d]:at[d + 1]])
                     hs.append(h)
                     cs.append(c)
                     ids.append(np.full(len(h), d))
-                    firsts.append((first << 9) | many)
+                    firsts.append((first << 32) | (times << 9) | many)
+                of = pa.array(np.concatenate(ids))
                 yield record(h=np.concatenate(hs).view(np.int64), c=np.concatenate(cs).view(np.int64),
-                             doc_id=batch.column("doc_id").take(pa.array(np.concatenate(ids))),
+                             doc_id=batch.column("doc_id").take(of), t=batch.column("t").take(of),
                              at=np.concatenate(firsts))
 
     let_workers_import(docs.sparkSession)
-    return docs.mapInArrow(run, "h long, c long, doc_id long, at long")
+    return docs.mapInArrow(run, "h long, c long, doc_id long, t long, at long")
 
 
 def marked_stream(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (h, c, doc_id, at), those whose h occurs more than once, with ``later``
-    (an earlier row has the same bytes around) and ``copied`` (any other row has). An anchor's rows
+    """From rows sorted by (h, c, doc_id, t, at), those whose h occurs more than once, with ``later``
+    (an earlier row has the same bytes around) and ``copied`` (any other row has, or a repetition). An anchor's rows
     are held until all are here, or ``most``: then only the last ones stay back."""
     held: pa.RecordBatch | None = None
     begun: tuple[int, int] | None = None  # (h, c) of the last row given, if its anchor goes on
@@ -117,12 +134,13 @@ def marked_stream(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Ite
         inside = np.array([begun is not None and begun[0] == h[0]])
         again = inside & np.array([begun is not None and begun[1] == c[0]])
         end = np.array([goes_on])
-        wanted = np.concatenate((inside, same_h)) | np.concatenate((same_h, end))
+        repeated = (batch.column("at").to_numpy() >> 9) & 0x7FFFFF > 1
+        wanted = np.concatenate((inside, same_h)) | np.concatenate((same_h, end)) | repeated
         later = np.concatenate((again, same_c))
-        copied = later | np.concatenate((same_c, [False]))
+        copied = later | np.concatenate((same_c, [False])) | repeated
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(x) for x in ("h", "c", "doc_id", "at")), pa.array(later), pa.array(copied)],
-            ["h", "c", "doc_id", "at", "later", "copied"]).filter(pa.array(wanted))
+            [*(batch.column(x) for x in ROW), pa.array(later), pa.array(copied)],
+            [*ROW, "later", "copied"]).filter(pa.array(wanted))
 
     for batch in batches:
         if not batch.num_rows:
@@ -146,11 +164,11 @@ def marked_stream(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Ite
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
-    """The rows of anchors that occur more than once, marked; tasks stream over 32-byte rows."""
+    """The rows of anchors that occur more than once, marked; tasks stream over 40-byte rows."""
     dealt = rows.repartition("h").sortWithinPartitions(
-        "h", "c", F.col("doc_id").asc_nulls_first(), "at")
-    return dealt.mapInArrow(marked_stream,
-                            "h long, c long, doc_id long, at long, later boolean, copied boolean")
+        "h", "c", F.col("doc_id").asc_nulls_first(), "t", "at")
+    return dealt.mapInArrow(marked_stream, "h long, c long, doc_id long, t long, at long, "
+                                           "later boolean, copied boolean")
 
 
 def suffix_classes(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -192,7 +210,7 @@ def spans_of(marks: np.ndarray) -> list[int]:
 
 
 def compared(rows: DataFrame, block: int) -> DataFrame:
-    """h, c, doc_id, at, earlier, later, more: for each row of bytes, the stretches of strings with an
+    """h, c, doc_id, t, at, earlier, later, more: for each row of bytes, the stretches of strings with an
     equal before or after it; ``more``: hashes of strings, where the anchor has other blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +218,9 @@ def compared(rows: DataFrame, block: int) -> DataFrame:
         begun: int | None = None  # an anchor whose first rows were in an earlier block
 
         def flush(rows: list[tuple], split: int | None) -> pa.RecordBatch:
-            rows = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[3]))
-            lengths = np.array([len(r[4]) for r in rows])
-            data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+            rows = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[4]))
+            lengths = np.array([len(r[5]) for r in rows])
+            data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
             base = np.cumsum(lengths) - lengths
             many = lengths - LENGTH + 1
             at = np.cumsum(many) - many
@@ -215,15 +233,14 @@ def compared(rows: DataFrame, block: int) -> DataFrame:
                 more = None
                 if r[0] in (split, begun):
                     more = span_hash(sums, starts[lo:hi], starts[lo:hi] + LENGTH).view(np.int64).tolist()
-                out.append((*r[:4], spans_of(early[lo:hi]), spans_of(late[lo:hi]), more))
+                out.append((*r[:5], spans_of(early[lo:hi]), spans_of(late[lo:hi]), more))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [
-                    pa.int64()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())], strict=True)],
-                ["h", "c", "doc_id", "at", "earlier", "later", "more"])
+                    pa.int64()] * 5 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())], strict=True)],
+                [*ROW, "earlier", "later", "more"])
 
         for batch in batches:
-            for r in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "doc_id", "at", "around")),
-                         strict=True):
+            for r in zip(*(batch.column(x).to_pylist() for x in (*ROW, "around")), strict=True):
                 if len(held) >= block:
                     split = r[0] if held[-1][0] == r[0] else None
                     yield flush(held, split)
@@ -233,46 +250,48 @@ def compared(rows: DataFrame, block: int) -> DataFrame:
             yield flush(held, None)
 
     dealt = rows.repartition("h").sortWithinPartitions("h", "c")
-    return dealt.mapInArrow(run, "h long, c long, doc_id long, at long, earlier array<int>, "
+    return dealt.mapInArrow(run, "h long, c long, doc_id long, t long, at long, earlier array<int>, "
                             "later array<int>, more array<long>")
 
 
 def repeated_strings(docs: DataFrame, keep_first: bool, block: int = BLOCK) -> DataFrame:
-    """doc_id, spans: [first string, number of strings] with an equal elsewhere (``keep_first``:
-    before it)."""
+    """Of rows (``doc_id``, ``t``, ``text``): doc_id, t, spans: [first string, number of strings] with an
+    equal elsewhere (``keep_first``: before it; then no two rows share doc_id and t)."""
     found = stored(shared_anchors(anchors(docs)), "anchors")
     several = (found.filter("not later").groupBy("h").agg(F.count("*").alias("kinds"))
                .filter("kinds > 1").select("h"))
     firsts = found.filter("not later").join(several, "h", "left_semi")
-    wanted = (firsts.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "at")).alias("rows"))
-              .withColumnRenamed("doc_id", "wanted"))
-    fetched = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.wanted)).select("doc_id", "text", "rows")
+    wanted = (firsts.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "c", "at")).alias("rows"))
+              .withColumnsRenamed({"doc_id": "wanted", "t": "wanted_t"}))
+    fetched = (docs.join(wanted, docs.doc_id.eqNullSafe(wanted.wanted) & (docs.t == wanted.wanted_t))
+               .select("doc_id", "t", "text", "rows"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut(whole):
                 out = []
-                for doc_id, text, rows in zip(batch.column("doc_id").to_pylist(), batch.column("text"),
-                                              batch.column("rows").to_pylist(), strict=True):
+                for doc_id, t, text, rows in zip(
+                        batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(),
+                        batch.column("text"), batch.column("rows").to_pylist(), strict=True):
                     raw = text.as_py().encode()
                     for r in rows:
-                        first, many = r["at"] >> 9, r["at"] & 511
+                        first, many = r["at"] >> 32, r["at"] & 511
                         around = raw[first:first + many - 1 + LENGTH]
                         if len(around) == many - 1 + LENGTH:
-                            out.append((r["h"], r["c"], doc_id, r["at"], around))
+                            out.append((r["h"], r["c"], doc_id, t, r["at"], around))
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True),
-                                                        [pa.int64()] * 4 + [pa.binary()], strict=True)],
-                        ["h", "c", "doc_id", "at", "around"])
+                                                        [pa.int64()] * 5 + [pa.binary()], strict=True)],
+                        [*ROW, "around"])
 
-    bytes_of = fetched.mapInArrow(fetch, "h long, c long, doc_id long, at long, around binary")
+    bytes_of = fetched.mapInArrow(fetch, "h long, c long, doc_id long, t long, at long, around binary")
     results = stored(compared(bytes_of, block), "suffixes")
     # strings of anchors with several blocks, across the blocks
     across = results.filter("more is not null").select(
-        "h", "c", "doc_id", "at", F.posexplode("more").alias("k", "w"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("d"),
-                     (F.shiftright("at", 9) + F.col("k")).alias("p"))
+        *ROW, F.posexplode("more").alias("k", "w"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("d"), "t",
+                     (F.shiftright("at", 32) + F.col("k")).alias("p"))
     counts = (across.groupBy("h", "w").agg(F.min(order).alias("first"), F.max(order).alias("last"))
               .filter("first <> last"))
     hits = across.join(counts, ["h", "w"])
@@ -285,24 +304,31 @@ def repeated_strings(docs: DataFrame, keep_first: bool, block: int = BLOCK) -> D
                          .alias("own")).join(hits, ["h", "c"], "left")
     own = own.select("h", "c", F.concat("own", F.coalesce("cross", empty)).alias("part"))
     # copies: all strings of the run; the first of them as well unless it is kept
-    first, many = F.shiftright("at", 9).cast("int"), F.col("at").bitwiseAND(511).cast("int")
-    whole = F.array(F.lit(0), many)
+    first, many = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(511).cast("int")
+    times = F.shiftright("at", 9).bitwiseAND(0x7FFFFF).cast("int")
+    whole = F.array(F.lit(0), F.when(times > 1, times).otherwise(many))
     full = F.col("later") if keep_first else F.col("copied")
-    all_of = found.filter(full).select("doc_id", first.alias("first"), whole.alias("part"))
-    some = (found.filter(~full).join(own, ["h", "c"]).filter(F.size("part") > 0)
-            .select("doc_id", first.alias("first"), "part"))
-    return (all_of.unionByName(some).groupBy("doc_id")
+    all_of = found.filter(full).select("doc_id", "t", first.alias("first"), whole.alias("part"))
+    rest = found.filter(~full)
+    some = (rest.join(own, ["h", "c"]).filter(F.size("part") > 0)
+            .select("doc_id", "t", first.alias("first"), "part"))
+    repeats = rest.filter(times > 1).select("doc_id", "t", first.alias("first"),
+                                            F.array(F.lit(1), times - 1).alias("part"))
+    return (all_of.unionByName(some).unionByName(repeats).groupBy("doc_id", "t")
             .agg(F.collect_list(F.struct("first", "part")).alias("spans")))
 
 
-def covered(size: int, spans: list[dict] | None) -> list[tuple[int, int]]:
-    """The maximal stretches of bytes that marked strings cover."""
-    if not spans:
+def covered(size: int, spans: pa.StructArray | None) -> list[tuple[int, int]]:
+    """The maximal stretches of bytes that marked strings (``first``, ``part``) cover."""
+    if spans is None or not len(spans):
         return []
-    edge = np.zeros(size + 1, np.int64)
-    lo = np.concatenate([np.array(s["part"][::2]) + s["first"] for s in spans])
-    hi = lo + np.concatenate([np.array(s["part"][1::2]) for s in spans]) - 1 + LENGTH
+    part = spans.field("part")
+    flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs = np.diff(part.offsets.to_numpy()) // 2
+    lo = flat[::2] + np.repeat(spans.field("first").to_numpy(zero_copy_only=False), pairs)
+    hi = lo + flat[1::2] - 1 + LENGTH
     fits = hi <= size
+    edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, lo[fits], 1)
     np.add.at(edge, hi[fits], -1)
     flips = np.diff(np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0])))
@@ -338,10 +364,9 @@ def removal_digests(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         for whole in batches:
             for batch in cut(whole):
                 rows = []
-                for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(),
-                                       strict=True):
+                for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                     raw = text.as_py().encode()
-                    gone = covered(len(raw), spans)
+                    gone = covered(len(raw), spans.values)
                     rest = without(raw, gone)
                     rows.append((len(raw), len(raw) - len(rest), len(gone),
                                  hashlib.sha256(rest).hexdigest()))
@@ -350,40 +375,65 @@ def removal_digests(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                              n_removed=pa.array(cols[1], pa.int64()),
                              n_spans=pa.array(cols[2], pa.int64()), kept_sha256=pa.array(cols[3]))
 
-    rows = id_and_text(docs)
-    spans = repeated_strings(rows, False, block).withColumnRenamed("doc_id", "marked")
-    found = rows.join(spans, rows.doc_id.eqNullSafe(spans.marked), "left")
+    rows = id_and_text(docs).withColumn("t", F.xxhash64("text"))
+    spans = repeated_strings(rows, False, block).withColumnsRenamed({"doc_id": "marked", "t": "marked_t"})
+    found = rows.join(spans, rows.doc_id.eqNullSafe(spans.marked) & (rows.t == spans.marked_t), "left")
     return found.select("doc_id", "text", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def one_of_equals(docs: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with one of those equal in ``key`` and ``name``, and the others. Only
+    rows that have equals are written, to be numbered; the rest are not shuffled where those are few."""
+    one = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of theirs
+    counts = docs.groupBy(key, name).agg(F.count("*").alias(one)).filter(F.col(one) > 1)
+    several = stored(counts.select(F.col(key).alias(f"{one}k"), F.col(name).alias(f"{one}n")), "equals")
+    same = F.col(key).eqNullSafe(F.col(f"{one}k")) & (F.col(name) == F.col(f"{one}n"))
+    equals = stored(docs.join(several, same, "left_semi")
+                    .withColumn(one, F.monotonically_increasing_id()), "equal-rows")
+    least = equals.groupBy(key, name).agg(F.min(one).alias(one)).select(F.col(one).alias(f"{one}k"))
+    kept = F.col(one) == F.col(f"{one}k")
+    firsts = docs.join(several, same, "left_anti").unionByName(
+        equals.join(least, kept, "left_semi").drop(one))
+    return firsts, equals.join(least, kept, "left_anti").drop(one)
+
+
 def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents with later copies cut out of their texts and the first kept; n_chars, where
     there is one, follows. Other columns stay as they are."""
-    rows = id_and_text(docs)
     names = docs.columns
     lead = "_" * max(map(len, names))  # longer than any name of theirs
-    mark, cuts = f"{lead}mark", f"{lead}cuts"
-    spans = repeated_strings(rows, True, block).select(F.col("doc_id").alias(mark), F.col("spans").alias(cuts))
-    joined = docs.join(spans, docs.doc_id.cast("long").eqNullSafe(F.col(mark)), "left").drop(mark)
+    key, name, mark, cuts = (f"{lead}{x}" for x in ("key", "name", "mark", "cuts"))
+    marked = docs.withColumns({key: F.col("doc_id").cast("long"),
+                               name: F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
+    firsts, others = one_of_equals(marked, key, name)
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = firsts.select(F.col(key).alias("doc_id"), t.alias("t"),
+                         F.coalesce("text", F.lit("")).alias("text"))
+    spans = repeated_strings(rows, True, block).toDF(mark, f"{mark}t", cuts)
+    joined = firsts.join(spans, F.col(key).eqNullSafe(F.col(mark)) & (t == F.col(f"{mark}t")),
+                         "left").select(*names, cuts)
     text_at, spans_at = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut(whole):
                 texts = []
-                for text, gone in zip(batch.column(text_at), batch.column(spans_at).to_pylist(),
-                                      strict=True):
-                    raw = (text.as_py() or "").encode()
-                    if not gone:
+                for text, gone in zip(batch.column(text_at), batch.column(spans_at), strict=True):
+                    if gone.values is None:
                         texts.append(text.as_py())
                     else:
-                        texts.append(without(raw, whole_characters(raw, covered(len(raw), gone))).decode())
+                        raw = (text.as_py() or "").encode()
+                        texts.append(without(raw, whole_characters(raw, covered(len(raw), gone.values)))
+                                     .decode())
                 columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i)
                            for i in range(spans_at)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = joined.mapInArrow(run, docs.schema)
+    # an equal of a kept row is a copy from end to end
+    emptied = others.select(*names).withColumn(
+        "text", F.when(F.octet_length("text") >= LENGTH, "").otherwise(F.col("text")))
+    out = joined.mapInArrow(run, docs.schema).unionByName(emptied)
     if "n_chars" in names:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))

@@ -212,6 +212,34 @@ def test_suffix_dedup_equals_brute_force(docs):
     assert suffix_dedup.deduplicated(docs("a").limit(0)).collect() == []
 
 
+def test_suffix_dedup_with_shared_ids(docs):
+    shared = words(60, 5)
+    a, b, c = shared + words(30, 7), words(90, 8), words(30, 9) + shared
+    kept = suffix_dedup.deduplicated(docs((1, a), (1, b), (2, c), (None, b + "!"), (None, a))).collect()
+    texts = [(r.doc_id, r.text) for r in kept]
+    # rows without an id come first, so those of doc_id 1 are the copies
+    assert (None, a) in texts and (None, b + "!") in texts and (1, "") in texts and len(texts) == 5
+    assert all(len(t) < 200 for d, t in texts if d == 1)
+    alone = suffix_dedup.deduplicated(docs((1, a), (1, b), (2, c))).collect()
+    assert {(r.doc_id, r.text) for r in alone} >= {(1, a), (1, b)}
+    gone = {r.n_removed for r in suffix_dedup.removal_digests(docs((1, a), (1, b), (2, c))).collect()}
+    assert 0 in gone and len(gone) == 2  # b loses nothing, a and c the same passage
+    equal = suffix_dedup.deduplicated(docs((1, a), (1, a), (1, a), (1, "short"), (1, "short"))).collect()
+    assert sorted(r.text for r in equal) == sorted(["", "", a, "short", "short"])
+    digests = suffix_dedup.removal_digests(docs((1, a), (1, a))).collect()
+    assert [r.n_removed for r in digests] == [len(a.encode())] * 2
+
+
+def test_suffix_dedup_of_one_long_run(docs):
+    long = words(40, 3) + "~" * 3_000_000 + words(40, 4)
+    tail = "~" * 300
+    rows = by_id(suffix_dedup.removal_digests(docs(long, words(50, 5), tail)), "n_removed", "n_spans")
+    assert rows == {0: (3_000_000, 1), 1: (0, 0), 2: (300, 1)}
+    kept = by_id(suffix_dedup.deduplicated(docs(long, tail)), "text")
+    # the first string of 200 stays with what its later copies do not cover
+    assert len(kept[0][0]) == len(long) - 2_999_999 and kept[1][0] == ""
+
+
 def test_chunks(docs):
     passage = words(80, 5)
     texts = [words(40, 7) + passage + words(9, 1), words(33, 8) + " " + passage + words(5, 2), words(90, 9), "", None]
