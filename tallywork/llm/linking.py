@@ -83,6 +83,15 @@ def open_rows(large: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(keys, "k", "left_semi").select("k", "c")
 
 
+def rarest_rows(rows: DataFrame, slack: DataFrame) -> DataFrame:
+    """The rows (k, c) without the ``slack`` most frequent keys of each c (c, slack). Sets that link and lie in
+    different components share that many open keys beside one, so the rarest they share stays in both."""
+    often = rows.groupBy("k").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "k").withColumn("rank", F.row_number().over(
+        Window.partitionBy("c").orderBy(F.desc("often"), F.desc("k"))))
+    return ranked.join(slack, "c").filter("rank > slack").select("k", "c")
+
+
 def separate(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) that labels do not put into one component yet."""
     x = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
@@ -164,9 +173,13 @@ def outsider_pairs(apart: DataFrame, like: Likeness) -> DataFrame:
 
 
 def linked_through(pairs: DataFrame, large: DataFrame, check: Callable[[DataFrame], DataFrame],
-                   texts_of: Callable[[DataFrame], DataFrame], like: Likeness) -> DataFrame:
+                   texts_of: Callable[[DataFrame], DataFrame], like: Likeness,
+                   slack: DataFrame | None = None) -> DataFrame:
     """node, label for every node with a link, from the candidates that ``check`` finds linked."""
-    return through_hubs(large, components(check(pairs)), check, texts_of, like)
+    labels = components(check(pairs))
+    if slack is not None:
+        large = rarest_rows(stored(open_rows(large, labels), "open"), slack)
+    return through_hubs(large, labels, check, texts_of, like)
 
 
 def through_hubs(large: DataFrame, labels: DataFrame, check: Callable[[DataFrame], DataFrame],

@@ -8,6 +8,9 @@ least: parts are the join keys (pigeonhole). Parts without any shingle say nothi
 at most s of them (s of its smallest partner) leaves them out, and one key is always left. Keys carry, beside the part's bits,
 the XOR of its shingles' hashes (equal whenever the part is), which makes chance agreement rare.
 
+In large groups, where pairs are not made, a class leaves its most frequent keys out, as many as its
+partners share beside one (``slack``): what shares a passage with many and is like none drops out.
+
 Sizes are banded: a document uses its band's parts, and also those of the band below if a partner
 may be there. Candidates are checked by size, by the Hamming distance of their whole sketches, and
 last by their exact sets.
@@ -80,6 +83,26 @@ def part_keys(grams: np.ndarray, like: Likeness) -> np.ndarray:
     return np.concatenate(out)
 
 
+def slack(grams: np.ndarray, like: Likeness) -> int:
+    """How many keys, beside one, a set shares at least with each set that it links with: the spare parts of
+    its smallest partner, less the empty parts that have no key."""
+    n = len(grams)
+    if not n:
+        return 0
+    band = band_of(n)
+    spare = like.spare(int(n * like.t))
+    least = spare
+    for b in (band, band - 1):
+        if b < 0 or (b < band and 100 * (band_start(band) - 1) < like.per_cent * n):
+            continue
+        many = like.parts(band_start(b + 1))
+        own = min(many, like.parts(n))
+        where = (mix(grams ^ PART_SEED) % U(many)).astype(np.int64)
+        empty = own - len(np.unique(where[where < own]))
+        least = min(least, max(spare - empty, 0))
+    return least
+
+
 def sketch(grams: np.ndarray) -> bytes:
     """All bits of the parity sketch: a power of two, about twice as many as shingles."""
     size = 64
@@ -109,7 +132,7 @@ def class_id(grams: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, t (names the text), n_shingles, c (the class of equal sets), sketch of every document."""
+    """doc_id, t (names the text), n_shingles, c (the class of equal sets), slack, sketch of every document."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,11 +140,12 @@ def sets(docs: DataFrame, like: Likeness) -> DataFrame:
             return record(doc_id=batch.column("doc_id"), t=batch.column("t"),
                           n_shingles=pa.array([len(g) for g in grams], pa.int64()),
                           c=pa.array(map(class_id, grams), pa.int64()),
+                          slack=pa.array([slack(g, like) for g in grams], pa.int64()),
                           sketch=pa.array(map(sketch, grams), pa.binary()))
         return work
 
     return mapped(id_and_text(docs).withColumn("t", text_name("text")), make,
-                  "doc_id long, t binary, n_shingles long, c long, sketch binary")
+                  "doc_id long, t binary, n_shingles long, c long, slack long, sketch binary")
 
 
 def text_name(text: str) -> Column:
@@ -224,10 +248,10 @@ def classed_texts(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFra
 
 
 def classes_from(every: DataFrame) -> DataFrame:
-    """c, doc (the smallest doc_id), n, sketch of each class of equal sets but the empty one."""
+    """c, doc (the smallest doc_id), n, slack, sketch of each class of equal sets but the empty one."""
     return stored(every.filter("c <> 0").groupBy("c").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"),
-        F.first("sketch").alias("sketch")), "classes")
+        F.first("slack").alias("slack"), F.first("sketch").alias("sketch")), "classes")
 
 
 def checker(docs: DataFrame, classes: DataFrame, like: Likeness) -> tuple[
@@ -256,10 +280,10 @@ def classes_of(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     every = stored(sets(docs, like), "sets")
     classes = classes_from(every)
     check, texts_of = checker(docs, classes, like)
-    labels = linked_through(*key_pairs(keys(docs, like)), check, texts_of, like)
+    labels = linked_through(*key_pairs(keys(docs, like)), check, texts_of, like, classes.select("c", "slack"))
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
-    return every.drop("sketch"), named
+    return every.drop("sketch", "slack"), named
 
 
 def joined(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
