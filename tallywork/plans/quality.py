@@ -31,30 +31,35 @@ def _found(table: str, key: Column, rule: Column) -> list[Column]:
             rule.alias("rule")]
 
 
-def bad_rows(df: DataFrame, table: str) -> DataFrame:
-    """All rules on single rows, in one pass over the table."""
-    rules = row_rules(table)
-    broken = F.filter(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]),
-                      lambda x: x.isNotNull())
-    return (df.select(F.col(schema.KEYS[table]).alias("_key"), F.explode(broken).alias("_rule"))
+def bad_rows(db: Practice, table: str) -> DataFrame:
+    """Rules on single rows and references to rows that are not there, in one pass over the table: each
+    row carries the rules it fails through a chain of joins with the keys of its parents."""
+    failed = F.array(*[F.when(test, F.lit(rule)) for rule, test in row_rules(table).items()])
+    refs = [ref for ref in schema.REFERENCES if ref.child == table]
+    checked = db[table].select(F.col(schema.KEYS[table]).alias("_key"), failed.alias("_failed"),
+                               *[F.col(ref.column).alias(f"_ref{i}") for i, ref in enumerate(refs)])
+    absent = []
+    for i, ref in enumerate(refs):
+        parent = db[ref.parent].select(F.col(schema.KEYS[ref.parent]).alias(f"_parent{i}")).distinct()
+        checked = checked.join(parent, F.col(f"_ref{i}") == F.col(f"_parent{i}"), "left")
+        lost = F.col(f"_ref{i}").isNotNull() & F.col(f"_parent{i}").isNull()
+        absent.append(F.when(lost, F.lit(f"{ref.column} in {ref.parent}")))
+    rules = F.concat("_failed", F.array(*absent).cast("array<string>"))
+    return (checked.select("_key", F.explode(F.array_compact(rules)).alias("_rule"))
             .select(*_found(table, F.col("_key"), F.col("_rule"))))
 
 
-def repeated(df: DataFrame, table: str, column: str) -> DataFrame:
-    """Values of a unique column that occur more than once."""
-    kind = dict(df.dtypes)[column]
-    value = text_key(F.col(column)) if kind == "string" else F.col(column)
-    return (df.groupBy(value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-            .where("_n > 1 and _value is not null")
-            .select(*_found(table, F.col("_value"), F.lit(f"{column} unique"))))
-
-
-def orphans(db: Practice, ref: schema.Reference) -> DataFrame:
-    parent = db[ref.parent].select(F.col(schema.KEYS[ref.parent]).alias("_parent"))
-    child = db[ref.child].where(F.col(ref.column).isNotNull())
-    return (child.join(parent, F.col(ref.column) == F.col("_parent"), "left_anti")
-            .select(*_found(ref.child, F.col(schema.KEYS[ref.child]),
-                            F.lit(f"{ref.column} in {ref.parent}"))))
+def repeated(df: DataFrame, table: str) -> DataFrame:
+    """Values of the table's unique columns and of its key that occur more than once: one grouped pass over
+    (column, value)."""
+    kinds = dict(df.dtypes)
+    pairs = []
+    for column in dict.fromkeys([*schema.UNIQUE.get(table, []), schema.KEYS[table]]):
+        value = text_key(F.col(column)) if kinds[column] == "string" else F.col(column).cast("string")
+        pairs.append(F.struct(F.lit(column).alias("column"), value.alias("value")))
+    return (df.select(F.explode(F.array(*pairs)).alias("_at")).where("_at.value is not null")
+            .groupBy("_at.column", "_at.value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            .select(*_found(table, F.col("value"), F.concat("column", F.lit(" unique")))))
 
 
 def several_providers(db: Practice) -> DataFrame:
@@ -73,9 +78,7 @@ def several_discharges(db: Practice) -> DataFrame:
 
 
 def violations(db: Practice) -> DataFrame:
-    parts = [bad_rows(db[t], t) for t in db if row_rules(t)]
-    parts += [repeated(db[t], t, c) for t, columns in schema.UNIQUE.items() for c in columns]
-    parts += [repeated(db[t], t, key) for t, key in schema.KEYS.items()]
-    parts += [orphans(db, ref) for ref in schema.REFERENCES]
+    parts = [bad_rows(db, t) for t in db]
+    parts += [repeated(db[t], t) for t in db]
     parts += [several_providers(db), several_discharges(db)]
     return reduce(DataFrame.unionByName, parts)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,29 @@ def test_violations(spark, tiny):
     assert not any(rule == "session_id in session" for _, _, rule in got)
 
 
+def test_every_kind_of_violation_at_once(spark, tiny):
+    """A parent listed twice, a child of two lost parents and a null reference: one row a rule and value."""
+    visits = [dict(id="a", client_id=99, session_id=98, charge=m(1), client_paid=m(1), insurance_paid=m(0)),
+              dict(id="b", client_id=1, session_id=None, charge=m(1), client_paid=None, insurance_paid=m(0)),
+              dict(id="b", client_id=1, session_id=10, charge=m(1), client_paid=m(1), insurance_paid=m(0))]
+    bad = tiny.replaced(client=tiny.client.unionByName(tiny.client),
+                        visit=table(spark, "visit", *visits))
+    got = Counter(rows(quality.violations(bad)))
+    about = {(key, rule): n for (t, key, rule), n in got.items() if t == "visit"}
+    assert about == {("a", "client_id in client"): 1, ("a", "session_id in session"): 1,
+                     ("b", "session_id required"): 1, ("b", "client_paid required"): 1,
+                     ("b", "id unique"): 1}
+    assert got["client", "1", "id unique"] == 1
+
+
+def test_violations_read_visits_three_times(spark, tiny, tmp_path):
+    tables.write_practice(tiny, str(tmp_path), 2)
+    found = quality.violations(tables.read_practice(spark, str(tmp_path)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("discharge_status" in line or "attend_n" in line for line in plan.splitlines()
+               if "Relation" in line) == 3
+
+
 def test_stored_tables_read_back(spark, tiny, tmp_path):
     tables.write_practice(tiny, str(tmp_path), 2)
     back = tables.read_practice(spark, str(tmp_path))
