@@ -42,6 +42,10 @@ from (select page_id, regexp_extract_all(html, '{_A_SQL}', 1) hrefs,
 add("s08_claim_rows",
     "upload_no trace_no href batch status last first acc_no d:service_date d:date_received",
     "select * from answer")
+add("s07_batch_list", "year i:pos batch_no href", """
+select upload_no // 100 as year, row_number() over (partition by upload_no // 100 order by upload_no desc) pos,
+  upload_no batch_no, concat('claims?batch_no=', cast(upload_no as varchar)) href
+from (select distinct upload_no from answer)""")
 add("s09_flatten_claims",
     "batch_no trace_no status last first acc_no client_id d:service_date d:date_received",
     "select batch batch_no, *exclude(client_id), cast(client_id as varchar) client_id from answer")

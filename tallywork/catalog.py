@@ -78,6 +78,10 @@ class Case:
         names = claims.claim_parties(self.raw).select("client_id", "account_no")
         return pages.render_results(self.sent, names)
 
+    @cached_property
+    def batches(self) -> DataFrame:
+        return pages.extract_batches(pages.render_batches(self.sent), ["year"])
+
     @cached_property
     def results(self) -> DataFrame:
         return pages.extract_claim_rows(self.result_pages, ["upload_no", "page_no"])
@@ -141,9 +145,7 @@ _add(
     s06_form_records=lambda c: c.records,
     s07_extract_links=lambda c: pages.extract_links(c.table("pages")),
     s08_claim_rows=lambda c: c.results.drop("page_no", "pos"),
-    s09_flatten_claims=lambda c: pages.flatten_claims(
-        pages.newer_batches(c.results.select(F.col("batch").alias("batch_no")).distinct(),
-                            F.lit(0)), c.results),
+    s07_batch_list=lambda c: c.batches,
     s11_lookup_lines=lambda c: files.lookup_lines(
         c.raw.client, F.col("name"), F.col("note"), F.col("id")),
 )
@@ -162,6 +164,14 @@ def _claims_csv(c: Case) -> DataFrame:
     return back.toDF(*[safe_name(n) for n in back.columns])
 
 
+@query("s09_flatten_claims")
+def _flat_claims(c: Case) -> DataFrame:
+    flat = pages.flatten_claims(pages.newer_batches(c.batches, F.lit(0)), c.results)
+    out = c.scratch("flat-claims")
+    files.write_flat_claims(flat, out)
+    return c.spark.read.schema(flat.schema).csv(out, header=True, nullValue="", emptyValue="")
+
+
 @query("s10_fixed_width_lines")
 def _balance_lines(c: Case) -> DataFrame:
     P = print_layout.Piece

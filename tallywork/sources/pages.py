@@ -1,4 +1,4 @@
-"""Stored web pages: links, and the claim rows of the portal's status lists.
+"""Stored web pages: links, the portal's list of batches, and the claim rows of its status lists.
 
 Pages are read whole; every match becomes a row through ``posexplode``.
 """
@@ -13,7 +13,8 @@ from tallywork.functions import billing, dates
 # --- fixed values: patterns of the markup ---------------------------------------
 HREF = r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""  # three ways of quoting
 LINK = r"(?is)<a\s[^>]*?" + HREF + r"[^>]*>(.*?)</a>"
-LIST = r"""(?is)<table[^>]*align\s*=\s*["']?center[^>]*>(.*?)</table>"""
+LIST = r"""(?is)<table(?=[^>]*\salign\s*=\s*["']?center\b)[^>]*>(.*)"""  # and all behind it
+TABLES = r"(?i)(?=</?table\b)"
 ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?is)<td[^>]*>(.*?)</td>"
 TAG = r"<[^>]*>"
@@ -40,14 +41,47 @@ def plain(markup: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(markup, TAG, ""), "&nbsp;|\\s+", " "))
 
 
-def extract_claim_rows(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Claim rows of status lists: the first centred table of a page, without its heading row.
-    ``keep`` names columns of ``pages`` to carry along."""
-    rows = (pages.select(*keep, F.regexp_extract("html", LIST, 1).alias("_list"))
+def first_list(html: str) -> Column:
+    """What is in the first centred table, up to its own end (tables inside it have theirs); without an end,
+    up to the page's."""
+    pieces = F.split(F.regexp_extract(html, LIST, 1), TABLES)
+
+    def step(state: Column, piece: Column) -> Column:
+        start = F.lower(F.substring(piece, 1, 7))
+        depth = (state["depth"] + F.when(start == "</table", -1)
+                 .when(start.startswith("<table"), 1).otherwise(0))
+        ended = (state["depth"] == 0) | (depth == 0)
+        return F.struct(F.when(ended, 0).otherwise(depth).cast("int").alias("depth"),
+                        F.when(ended, state["n"]).otherwise(state["n"] + 1).cast("int").alias("n"))
+
+    kept = F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
+    return F.array_join(F.slice(pieces, F.lit(1), kept), "")
+
+
+def _list_rows(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """(pos, cells) of the rows of a page's list, without its heading row."""
+    return (pages.select(*keep, first_list("html").alias("_list"))
             .select(*keep, F.posexplode(_all("_list", ROW)).alias("pos", "row"))
             .where("pos > 0")
             .select(*keep, "pos", _all("row", CELL).alias("cells")))
 
+
+def _cell_href(i: int) -> Column:
+    return F.concat(*[F.regexp_extract(F.get("cells", F.lit(i)), "(?i)" + HREF, k) for k in (1, 2, 3)])
+
+
+def extract_batches(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """(batch_no, href) of each row of the list of batches."""
+    return _list_rows(pages, keep).select(
+        *keep, "pos", plain(F.get("cells", F.lit(1))).try_cast("bigint").alias("batch_no"),
+        _cell_href(1).alias("href"))
+
+
+def extract_claim_rows(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """Claim rows of status lists: the first centred table of a page, without its heading row.
+    ``keep`` names columns of ``pages`` to carry along."""
+    rows = _list_rows(pages, keep)
+
     def text(i: int) -> Column:
         return plain(F.get("cells", F.lit(i)))
 
@@ -57,8 +91,7 @@ def extract_claim_rows(pages: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(
         *keep, "pos",
         text(TRACE).try_cast("bigint").alias("trace_no"),
-        F.concat(*[F.regexp_extract(F.get("cells", F.lit(TRACE)), "(?i)" + HREF, i)
-                   for i in (1, 2, 3)]).alias("href"),
+        _cell_href(TRACE).alias("href"),
         text(BATCH).try_cast("bigint").alias("batch"), text(STATUS).alias("status"),
         text(LAST).alias("last"), text(FIRST).alias("first"), text(ACCOUNT).alias("acc_no"),
         date(SERVICED).alias("service_date"), date(RECEIVED).alias("date_received"))
@@ -86,6 +119,24 @@ def newest_batch(batches: DataFrame) -> DataFrame:
 ROWS_PER_PAGE = 25
 
 
+def render_batches(sent: DataFrame) -> DataFrame:
+    """Lists of batches as the portal would show them for claims sent: (year, html), newest first. An upload is
+    a month, so a page has at most twelve rows; above each list stands a table of the page's frame."""
+    no = F.col("upload_no").cast("string")
+    row = F.concat(F.lit("<tr><td>claims</td><td nowrap>&nbsp;<a href='claims?batch_no="), no, F.lit("'>"),
+                   no, F.lit("</a></td></tr>"))
+    return (sent.select("upload_no").distinct()
+            .select(F.floor(F.col("upload_no") / 100).cast("bigint").alias("year"),
+                    F.struct("upload_no", row.alias("row")).alias("r"))
+            .groupBy("year")
+            .agg(F.concat(F.lit("<table valign=center><tr><td>frame</td></tr></table>"
+                                "<table border=0 align=Center><tr><td>"
+                                "<table>No</table></td><td>Batch</td></tr>"),
+                          F.array_join(F.transform(F.sort_array(F.collect_list("r"), asc=False),
+                                                   lambda x: x["row"]), "\n"),
+                          F.lit("</table><table><tr><td>foot</td></tr></table>")).alias("html")))
+
+
 def render_results(sent: DataFrame, names: DataFrame) -> DataFrame:
     """Status lists as the portal would show them for claims sent: (upload_no, page_no,
     html), 25 claims a page. ``names``: (client_id, account_no)."""

@@ -55,3 +55,15 @@ def test_money_of_a_day_without_visits_is_kept(spark):
          (2, d("2001-01-01"), 0, m(0), m(0), m(0))], balances.CELLS)
     assert rows(balances.balances(cells)) == [
         (1, d("2001-01-02"), d("2001-01-02"), m(15), m(1), m(0), m(14))]
+
+
+def test_a_list_ends_with_its_own_table(spark):
+    html = ("<table valign=center><tr><td>no</td></tr></table>"
+            "<TABLE width=9 align='Center'><tr><td><table><tr><td>x</td></tr></table></td></tr>"
+            "<tr><td>1</td><td>&nbsp;<a href=b?n=7>7</a></td></tr>"
+            "<tr><td>2</td><td><a href='b?n=6'>6</a></td></tr></TABLE>"
+            "<table align=center><tr><td>h</td></tr><tr><td>1</td><td>5</td></tr></table>")
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None), (4, "<table align=left><tr></tr></table>")],
+                               "page_id int, html string")
+    got = pages.extract_batches(df, ["page_id"]).where("batch_no is not null").orderBy("pos")
+    assert [(r.batch_no, r.href) for r in got.collect()] == [(7, "b?n=7"), (6, "b?n=6")]
