@@ -83,6 +83,14 @@ def open_rows(large: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(keys, "k", "left_semi").select("k", "c")
 
 
+def rows_of_enough(rows: DataFrame, slack: DataFrame) -> DataFrame:
+    """The rows (k, c) of those c (c, slack) that have more than ``slack`` of them. Sets that link share more keys
+    than that; all groups of these are open if the two lie in different components. So what shares
+    a passage with many and is like none of them drops out."""
+    many = rows.groupBy("c").agg(F.count("*").alias("many"))
+    return rows.join(many.join(slack, "c").filter("many > slack").select("c"), "c").select("k", "c")
+
+
 def separate(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) that labels do not put into one component yet."""
     x = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
@@ -164,9 +172,14 @@ def outsider_pairs(apart: DataFrame, like: Likeness) -> DataFrame:
 
 
 def linked_through(pairs: DataFrame, large: DataFrame, check: Callable[[DataFrame], DataFrame],
-                   texts_of: Callable[[DataFrame], DataFrame], like: Likeness) -> DataFrame:
-    """node, label for every node with a link, from the candidates that ``check`` finds linked."""
-    return through_hubs(large, components(check(pairs)), check, texts_of, like)
+                   texts_of: Callable[[DataFrame], DataFrame], like: Likeness,
+                   slack: DataFrame | None = None) -> DataFrame:
+    """node, label for every node with a link, from the candidates that ``check`` finds linked; slack: c and how
+    many keys it shares at least, beside one, with each set that it links with."""
+    labels = components(check(pairs))
+    if slack is not None:
+        large = rows_of_enough(stored(open_rows(large, labels), "keys"), slack)
+    return through_hubs(large, labels, check, texts_of, like)
 
 
 def through_hubs(large: DataFrame, labels: DataFrame, check: Callable[[DataFrame], DataFrame],

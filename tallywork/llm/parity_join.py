@@ -8,6 +8,9 @@ least: parts are the join keys (pigeonhole). Parts without any shingle say nothi
 at most s of them (s of its smallest partner) leaves them out, and one key is always left. Keys carry, beside the part's bits,
 the XOR of its shingles' hashes (equal whenever the part is), which makes chance agreement rare.
 
+A key of many documents gives no pairs. Its members go on only if they have more than s keys of that kind,
+as all have that link there (``slack``); those are compared with a hub (``linking``).
+
 Sizes are banded: a document uses its band's parts, and also those of the band below if a partner
 may be there. Candidates are checked by size, by the Hamming distance of their whole sketches, and
 last by their exact sets.
@@ -20,7 +23,7 @@ sets stay different documents; further columns are not read. Sets are compared b
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,19 +54,24 @@ def band_start(band: int) -> int:
     return n
 
 
-def part_keys(grams: np.ndarray, like: Likeness) -> np.ndarray:
-    """The join keys of one set."""
+def placed_parts(grams: np.ndarray, like: Likeness) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each band that a set has keys in: the band, its number of parts and the part of each shingle.
+
+    As the larger partner of a smaller set, or the smaller of a larger: the first parts do, as many as its
+    own differences need."""
     n = len(grams)
-    out = []
     band = band_of(n)
     for b in (band, band - 1):
         if b < 0 or (b < band and 100 * (band_start(band) - 1) < like.per_cent * n):
             continue  # no linked partner below
         many = like.parts(band_start(b + 1))
-        # as the larger partner of a smaller set, or the smaller of a larger: the first parts do,
-        # as many as its own differences need
-        own = min(many, like.parts(n))
-        where = (mix(grams ^ PART_SEED) % U(many)).astype(np.int64)
+        yield b, min(many, like.parts(n)), (mix(grams ^ PART_SEED) % U(many)).astype(np.int64)
+
+
+def part_keys(grams: np.ndarray, like: Likeness) -> np.ndarray:
+    """The join keys of one set."""
+    out = []
+    for b, own, where in placed_parts(grams, like):
         keep = where < own
         value = np.zeros(own, np.uint64)
         count = np.bincount(where[keep], minlength=own)
@@ -73,13 +81,23 @@ def part_keys(grams: np.ndarray, like: Likeness) -> np.ndarray:
         index = np.arange(own)
         full = count > 0
         # equal parts leave out alike; the smallest partner's spare bounds what both may leave out
-        if own - full.sum() <= like.spare(int(n * like.t)):
+        if own - full.sum() <= like.spare(int(len(grams) * like.t)):
             index = index[full]
         salt = U(b * 2654435761 + 97)
         out.append(mix(mix(value[index] ^ mix(bits[index] + salt)) + index.astype(np.uint64)))
     return np.concatenate(out)
 
 
+def slack(grams: np.ndarray, like: Likeness) -> int:
+    """How many keys, beside one, a set shares at least with each set that it links with: the spare parts of
+    its smallest partner, less its own parts without shingles."""
+    spare = least = like.spare(int(len(grams) * like.t))
+    for _, own, where in placed_parts(grams, like) if len(grams) else ():
+        empty = own - np.count_nonzero(np.bincount(where[where < own], minlength=own))
+        least = min(least, max(spare - int(empty), 0))
+    return least
+
+
 def sketch(grams: np.ndarray) -> bytes:
     """All bits of the parity sketch: a power of two, about twice as many as shingles."""
     size = 64
@@ -108,8 +126,9 @@ def class_id(grams: np.ndarray) -> int:
     return int(mix(place.sum(dtype=np.uint64, keepdims=True) + U(len(grams))).view(np.int64)[0]) or 1
 
 
-def sets(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, t (names the text), n_shingles, c (the class of equal sets), sketch of every document."""
+def sets(docs: DataFrame, like: Likeness, slacks: bool = False) -> DataFrame:
+    """doc_id, t (names the text), n_shingles, c (the class of equal sets), sketch and, if asked for, slack of
+    every document."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,11 +136,12 @@ def sets(docs: DataFrame, like: Likeness) -> DataFrame:
             return record(doc_id=batch.column("doc_id"), t=batch.column("t"),
                           n_shingles=pa.array([len(g) for g in grams], pa.int64()),
                           c=pa.array(map(class_id, grams), pa.int64()),
-                          sketch=pa.array(map(sketch, grams), pa.binary()))
+                          sketch=pa.array(map(sketch, grams), pa.binary()),
+                          **({"slack": pa.array([slack(g, like) for g in grams], pa.int64())} if slacks else {}))
         return work
 
     return mapped(id_and_text(docs).withColumn("t", text_name("text")), make,
-                  "doc_id long, t binary, n_shingles long, c long, sketch binary")
+                  "doc_id long, t binary, n_shingles long, c long, sketch binary" + ", slack long" * slacks)
 
 
 def text_name(text: str) -> Column:
@@ -224,10 +244,10 @@ def classed_texts(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFra
 
 
 def classes_from(every: DataFrame) -> DataFrame:
-    """c, doc (the smallest doc_id), n, sketch of each class of equal sets but the empty one."""
+    """c, doc (the smallest doc_id), n, sketch (and slack) of each class of equal sets but the empty one."""
     return stored(every.filter("c <> 0").groupBy("c").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"),
-        F.first("sketch").alias("sketch")), "classes")
+        *(F.first(x).alias(x) for x in ("sketch", "slack") if x in every.columns)), "classes")
 
 
 def checker(docs: DataFrame, classes: DataFrame, like: Likeness) -> tuple[
@@ -253,13 +273,14 @@ def classes_of(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
 
     (doc_id, n_shingles, c) and (c, label, doc): ``label`` names the component, ``doc`` is the
     smallest doc_id of the class."""
-    every = stored(sets(docs, like), "sets")
+    every = stored(sets(docs, like, slacks=True), "sets")
     classes = classes_from(every)
     check, texts_of = checker(docs, classes, like)
-    labels = linked_through(*key_pairs(keys(docs, like)), check, texts_of, like)
+    labels = linked_through(*key_pairs(keys(docs, like)), check, texts_of, like,
+                            classes.select("c", "slack"))
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
-    return every.drop("sketch"), named
+    return every.drop("sketch", "slack"), named
 
 
 def joined(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
