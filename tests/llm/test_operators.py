@@ -125,6 +125,25 @@ def test_sketch_distance_is_a_lower_bound():
         assert parity_join.hamming(parity_join.sketch(a), parity_join.sketch(b)) <= apart
 
 
+@pytest.mark.parametrize("per_cent", [80, 90])
+def test_linked_sets_share_more_keys_than_their_slack(per_cent):
+    like, rng, tried = parity_join.Likeness(5, per_cent), np.random.default_rng(4), 0
+    for n in (1, 2, 5, 9, 10, 24, 60, 100, 333, 1000):
+        for _ in range(20):
+            pool = rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64)
+            most = like.difference(n)
+            gone = int(rng.integers(0, most // 2 + 1))
+            mine = np.unique(pool[:n])
+            # a partner that differs about as much as a link allows
+            other = np.unique(np.concatenate((pool[gone:n], pool[n:n + max(most - 2 * gone, 0)])))
+            if not like.linked(len(mine), len(other), len(np.intersect1d(mine, other))):
+                continue
+            keys = np.intersect1d(*(parity_join.part_keys(x, like) for x in (mine, other)))
+            assert len(keys) > max(parity_join.slack(x, like) for x in (mine, other))
+            tried += 1
+    assert tried > 100
+
+
 def test_minhash(docs):
     texts = [words(100, k) for k in range(6)] + ["", None, "éé üü", words(100, 0)]
     got = by_id(minhash.fingerprints(docs(*texts)), "n_chars", "edited_sha256", "fingerprint", "near_edited")
