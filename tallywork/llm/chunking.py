@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes; where its upper bits are zero a chunk ends. Bounds depend on
-the last 64 bytes alone, so an insertion moves the bounds near it and no others, and the same passage
-is cut alike wherever it stands. Chunks are compared by digest; of equal chunks the first (smallest
+the last 16 bytes alone, so an insertion moves the bounds near it and no others, and the same passage
+is cut alike wherever it stands, but for its first bytes. Chunks are compared by digest; of equal chunks the first (smallest
 doc_id, then position) stays. Only runs of repeated chunks of MIN_RUN bytes or more count, so short
 phrases that texts happen to share are left alone.
 
@@ -29,9 +29,9 @@ CHUNK_BITS, LONGEST, MIN_RUN = 5, 1024, 160
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of GEAR[data[i - j]] << j for j < 64, in six doublings."""
+    """h[i] = sum of GEAR[data[i - j]] << j for j < 16, in four doublings."""
     h = GEAR[data]
-    for k in (1, 2, 4, 8, 16, 32):
+    for k in (1, 2, 4, 8):
         if k < len(h):
             shifted = h[:-k] << U(k)
             h = h.copy()
