@@ -17,24 +17,28 @@ from tallywork.llm.words import shingles
 SMALL_GROUP = 8
 
 
-def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def key_pairs(keyed: DataFrame, fewer: bool = False) -> tuple[DataFrame, DataFrame]:
     """From rows (k, c): the pairs (a, b) of different c that share a key, and the rows of large
     groups, whose other pairs are left for ``linked_through``.
 
+    ``fewer``: of its partners in the chains and stars of all its large groups each c keeps two, the smallest
+    and the largest. There are at most two such pairs for each c then, in however many groups it is; what they
+    leave apart meets through hubs like all else in large groups. Pairs of small groups all stay.
+
     The keys are dealt out and sorted by Spark; a task then streams over its sorted rows and holds
     no more than SMALL_GROUP of them, however large a group is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, last, count = None, [], None, 0
-        out: list[tuple[int, int, int | None]] = []
+        out: list[tuple[int, int, int | None, bool]] = []
 
         def flush():
             nonlocal out
             cols = list(zip(*out, strict=True))
             out = []
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols], ["a", "b", "k"])
+            return record(**{x: pa.array(col, pa.int64()) for x, col in zip("abk", cols, strict=False)},
+                          far=pa.array(cols[3], pa.bool_()))
 
         for batch in batches:
             ks, cs = (batch.column(x).to_numpy() for x in ("k", "c"))
@@ -54,12 +58,12 @@ def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
                     continue
                 count += 1
                 if count <= SMALL_GROUP:
-                    out += [(m, c, None) for m in members]
+                    out += [(m, c, None, False) for m in members]
                     members.append(c)
                 else:
                     if count == SMALL_GROUP + 1:
-                        out += [(m, m, k) for m in members]
-                    out += [(members[0], c, None), (last, c, None), (c, c, k)]
+                        out += [(m, m, k, True) for m in members]
+                    out += [(members[0], c, None, True), (last, c, None, True), (c, c, k, True)]
                 last = c
                 if len(out) >= 20_000:
                     yield flush()
@@ -68,8 +72,13 @@ def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     let_workers_import(keyed.sparkSession)
     dealt = keyed.repartition("k").sortWithinPartitions("k", "c")
-    found = stored(dealt.mapInArrow(run, "a long, b long, k long"), "pairs")
-    pairs = found.filter("k is null").select("a", "b").distinct()
+    found = stored(dealt.mapInArrow(run, "a long, b long, k long, far boolean"), "pairs")
+    pairs = found.filter("k is null")
+    if fewer:
+        ends = (pairs.filter("far").groupBy("b").agg(F.array(F.min("a"), F.max("a")).alias("a"))
+                .select(F.explode("a").alias("a"), "b"))
+        pairs = pairs.filter("not far").select("a", "b").union(ends)
+    pairs = pairs.select("a", "b").distinct()
     large = found.filter("k is not null").select("k", F.col("a").alias("c"))
     return pairs, large
 

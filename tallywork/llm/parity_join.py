@@ -276,7 +276,7 @@ def classes_of(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     every = stored(sets(docs, like, slacks=True), "sets")
     classes = classes_from(every)
     check, texts_of = checker(docs, classes, like)
-    labels = linked_through(*key_pairs(keys(docs, like)), check, texts_of, like,
+    labels = linked_through(*key_pairs(keys(docs, like), fewer=True), check, texts_of, like,
                             classes.select("c", "slack"))
     named = (classes.join(labels, classes.c == labels.node, "left")
              .select("c", "doc", F.coalesce("label", "c").alias("label")))
