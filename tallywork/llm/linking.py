@@ -15,26 +15,33 @@ from tallywork.llm.words import shingles
 
 #: Groups of a key up to this size give all their pairs, larger ones a chain and a star.
 SMALL_GROUP = 8
+#: What gives a pair: a small group, the star or the chain of a large one.
+ALL, STAR, CHAIN = 0, 1, 2
 
 
-def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def key_pairs(keyed: DataFrame, fewer: bool = False) -> tuple[DataFrame, DataFrame]:
     """From rows (k, c): the pairs (a, b) of different c that share a key, and the rows of large
     groups, whose other pairs are left for ``linked_through``.
 
+    ``fewer``: each c keeps two of the pairs that the stars and chains of its large groups give it, of
+    either kind the one that comes up in most groups. So they grow with the number of c, not with that of its large
+    groups (of which the first SMALL_GROUP members still give all theirs); what this leaves apart is left
+    like the other pairs of large groups.
+
     The keys are dealt out and sorted by Spark; a task then streams over its sorted rows and holds
     no more than SMALL_GROUP of them, however large a group is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, last, count = None, [], None, 0
-        out: list[tuple[int, int, int | None]] = []
+        out: list[tuple[int, int, int | None, int]] = []
 
         def flush():
             nonlocal out
             cols = list(zip(*out, strict=True))
             out = []
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols], ["a", "b", "k"])
+                [pa.array(c, pa.int64()) for c in cols], ["a", "b", "k", "kind"])
 
         for batch in batches:
             ks, cs = (batch.column(x).to_numpy() for x in ("k", "c"))
@@ -54,12 +61,12 @@ def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
                     continue
                 count += 1
                 if count <= SMALL_GROUP:
-                    out += [(m, c, None) for m in members]
+                    out += [(m, c, None, ALL) for m in members]
                     members.append(c)
                 else:
                     if count == SMALL_GROUP + 1:
-                        out += [(m, m, k) for m in members]
-                    out += [(members[0], c, None), (last, c, None), (c, c, k)]
+                        out += [(m, m, k, ALL) for m in members]
+                    out += [(members[0], c, None, STAR), (last, c, None, CHAIN), (c, c, k, ALL)]
                 last = c
                 if len(out) >= 20_000:
                     yield flush()
@@ -68,8 +75,14 @@ def key_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     let_workers_import(keyed.sparkSession)
     dealt = keyed.repartition("k").sortWithinPartitions("k", "c")
-    found = stored(dealt.mapInArrow(run, "a long, b long, k long"), "pairs")
-    pairs = found.filter("k is null").select("a", "b").distinct()
+    found = stored(dealt.mapInArrow(run, "a long, b long, k long, kind long"), "pairs")
+    pairs = found.filter("k is null")
+    if fewer:
+        most = (pairs.filter(F.col("kind") != ALL).groupBy("kind", "a", "b").agg(F.count("*").alias("often"))
+                .groupBy("kind", "b").agg(F.max(F.struct("often", "a")).alias("most")))
+        pairs = (pairs.filter(F.col("kind") == ALL).select("a", "b")
+                 .union(most.select(F.col("most.a").alias("a"), "b")))
+    pairs = pairs.select("a", "b").distinct()
     large = found.filter("k is not null").select("k", F.col("a").alias("c"))
     return pairs, large
 
