@@ -309,6 +309,27 @@ def test_pii_terms_that_disclose(docs):
     assert pii.sanitised(docs("a").limit(0)).collect() == []
 
 
+def test_pii_terms_that_disclose_go_everywhere(docs):
+    """A term that gives a value away goes in texts without the value, and far from it, as well."""
+    near = [f"{words(60, k)} ask Kestrelborn at k@x.org now {words(60, 50 + k)}" for k in range(6)]
+    far = f"{words(400, 90)}\n {words(3, 91)} é, KESTRELBORN; {words(200, 92)}"
+    texts = [*near, far, None, words(50, 93), f"{near[0]} {words(300, 94)} Kestrelborn."]
+    rows = by_id(pii.sanitised(docs(*texts, (6, far))), "text", "n_chars")
+    assert rows[6][0] == far.replace("KESTRELBORN", "K.") and rows[6][1] == len(rows[6][0])
+    assert not any("kestrelborn" in (text or "").lower() for text, _ in rows.values())
+    assert rows[9][0].endswith(" K..") and rows[8][0] == texts[8] and rows[7][0] is None
+    spans = by_id(pii.report(docs(*texts)), "spans")
+    at = far.index("KESTRELBORN")
+    assert spans[6] == (f"hints:{at}:{at + 11}",)
+
+
+def test_pii_terms_whose_lowering_depends_on_their_neighbours(docs):
+    texts = [f"{words(60, k)} {x} {words(60, 50 + k)}" for k, x in enumerate((
+        "from ΟΔΟΣ'Α by k@x.org", "k@x.org of ΟΔΟΣ'Α too", "İzmirli has k@y.org", "write k@y.org, İzmirli"))]
+    text = " ".join(t for t, in by_id(pii.sanitised(docs(*texts)), "text").values())
+    assert "ΟΔΟΣ" not in text and "İzmirli" not in text
+
+
 def test_toxicity(spark, docs):
     bad = ["loathsome", "wretched", "vermin", "scoundrel"]
     texts, toxic = [], []
