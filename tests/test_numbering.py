@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywork.operators.breaks import BreakSpec, subtotals, with_breaks, with_parity
-from tallywork.operators.numbering import Level, laid_out, numbered, runs
+from tallywork.operators.numbering import Level, _Scan, laid_out, numbered, runs
 
 LEVELS = [Level("client", ["client_id"]), Level("group", ["group_id"])]
 
@@ -130,3 +130,32 @@ def test_parity_alternates_down_the_report(spark):
     got = with_parity(df.fillna("z", ["name"]), spec(), 9)
     ordered = sorted(rows, key=lambda r: (r[0] or "z", r[2], r[4], r[5]))
     assert {r.id: r.parity for r in got.collect()} == {r[5]: i % 2 for i, r in enumerate(ordered)}
+
+
+def test_ranges_are_scanned_without_a_shuffle(spark):
+    df, _ = data(spark, 7)
+    local = _Scan(["name"], [["client_id"], None]).local(laid_out(df, [F.col("name"), F.col("id")], 12))
+    assert "Exchange" not in local._jdf.queryExecution().executedPlan().toString()
+
+
+def test_subtotals_of_names_that_are_one_client_are_summed_before_they_are_sorted(spark, monkeypatch):
+    """Names of one client, names of two, a null name, null keys and amounts; sums as of the plain loop."""
+    rnd = random.Random(8)
+    rows = [(name, rnd.choice(ids), f"g{rnd.randrange(3)}", rnd.choice([1, None]), rnd.randrange(9), 10 * k + i,
+             rnd.choice([None, 1, 2, 3]))
+            for k, (name, ids) in enumerate([("a", [1]), ("b", [2, 3]), (None, [4]), ("d", [None]), ("e", [None, 5]),
+                                             ("f", [6])])
+            for i in range(8)]
+    df = spark.createDataFrame(
+        rows, "name string, client_id int, group_name string, group_id int, day int, id int, amount int")
+    marks = loop(rows)
+    expected: dict = {}
+    for r in rows:
+        n, total = expected.get((r[0], marks[r[5]][0], r[1]), (0, None))
+        expected[r[0], marks[r[5]][0], r[1]] = (n + 1, total if r[6] is None else (total or 0) + r[6])
+    sorted_rows = []
+    monkeypatch.setattr("tallywork.operators.breaks.runs",
+                        lambda df, *rest: sorted_rows.append(df.count()) or runs(df, *rest))
+    got = subtotals(df, spec(), "client").collect()
+    assert {(r["name"], r.run_client, r.client_id): (r.n_rows, r.amount_sum) for r in got} == expected
+    assert len(got) == len(expected) and sorted_rows == [4 + 2 * 8]
