@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,26 @@ def test_names_for_sql(spark, tiny):
     assert spark.sql("select count(*) from attendance_all").first()[0] == 12
     assert spark.sql("select sum(due) from client_balances cb join attendance_all a "
                      "on a.client_id = cb.client_id").first()[0] is not None
+
+
+def _visit_scans(df) -> int:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"Relation \[id#\w+,client_id#\w+,session_id#", plan))
+
+
+def test_balances_and_sums_do_not_join_the_visits_anew(case):
+    """The bulk invoices make the clients' balances once; the three levels join visits and sessions once."""
+    db = upkeep.with_balances(case.raw, d("2001-01-01"), datetime.datetime(2001, 11, 15))
+    assert _visit_scans(reports.report(db, "invoice_batch", AS_OF)) == 1
+    assert _visit_scans(reports.report(db, "three_levels", AS_OF)) == 0
+
+
+def test_discharges_meet_visits_where_they_lie(case, spark):
+    """Visits lie by client when the discharges of client and group are looked up, and stay there."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reports.report(case.db, "attendance_by_client", AS_OF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not re.search(r"hashpartitioning\(client_id#\w+, group_id", plan)
